@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from baglight.plans import pipeline
+
+QUERIES: dict = {**pipeline.QUERIES}
+ORACLES: dict = {**pipeline.ORACLES}
