@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baglight.llm import category_sample, related_splits
+from baglight.llm import category_sample, related_splits, split_overlap
 from baglight.operators.rows import latest
 from baglight.sources.tables import table
 
@@ -42,10 +42,20 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[1]
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.ordered_pairs(split_overlap.cross_split_pairs(current_split(spark, d, "part", "img_path", "sig_d", "sig_a")))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(current_split(spark, d, "part", "folder_name", "img_path", "sig_d", "sig_a"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
     "p2_found": p2_found,
     "p2_sample": p2_sample,
     "p2_report": p2_report,
+    "p6_found": p6_found,
+    "p6_report": p6_report,
 }
