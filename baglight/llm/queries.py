@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baglight.llm import category_sample, related_splits, split_overlap
+from baglight.llm import category_sample, related_splits, split_overlap, tokenise
 from baglight.operators.rows import latest
 from baglight.sources.tables import table
 
@@ -50,6 +50,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.overlap_report(current_split(spark, d, "part", "folder_name", "img_path", "sig_d", "sig_a"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenise.token_ids(table(spark, d, "documents", "doc_id", "text"), "byte_bpe_50k")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
@@ -58,4 +62,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p6_found": p6_found,
     "p6_report": p6_report,
+    "p7_ids": p7_ids,
 }
