@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from baglight.operators import compaction
+from baglight.operators import compaction, nested
 from baglight.sources.tables import table
 
 
@@ -22,7 +22,18 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
     return compaction.file_sizes(p5_store(spark, d))
 
 
-QUERIES = {"p5_found": p5_found, "p5_files": p5_files}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return nested.found_objects(table(spark, d, "annotation_files", "file_id", "payload", "read_at"))
+
+
+def _p4_table(name: str):
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return nested.nested_table(table(spark, d, "annotation_files", "file_id", "payload", "read_at"), name)
+
+    return query
+
+
+QUERIES = {"p4_found": p4_found, "p4_images": _p4_table("image"), "p4_objects": _p4_table("object"), "p4_rings": _p4_table("ring"), "p4_points": _p4_table("point"), "p5_found": p5_found, "p5_files": p5_files}
 
 ORACLES = {
     "p5_found": r"""
