@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baglight.llm import category_sample, related_splits, split_overlap, tokenise
+from baglight.llm import category_sample, near_captions, related_splits, split_overlap, tokenise
 from baglight.operators.rows import latest
 from baglight.sources.tables import table
 
@@ -42,6 +42,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return _p2(spark, d)[1]
 
 
+def current_captions(spark: SparkSession, d: str) -> DataFrame:
+    """uid and caption of the current rows of scan_index."""
+    return latest(table(spark, d, "scan_index", "uid", "caption", "indexed_at"), "uid", "indexed_at").select("uid", "caption")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_captions.near_pairs(current_captions(spark, d), "uid", "caption")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.ordered_pairs(split_overlap.cross_split_pairs(current_split(spark, d, "part", "img_path", "sig_d", "sig_a")))
 
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_sample": p2_sample,
     "p2_report": p2_report,
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_ids": p7_ids,
