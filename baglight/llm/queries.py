@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baglight.llm import category_sample, near_captions, related_splits, split_overlap, tokenise
+from baglight.llm import category_sample, containers, near_captions, related_splits, split_overlap, tokenise
 from baglight.operators.rows import latest
 from baglight.sources.tables import table
 
@@ -63,6 +63,17 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenise.token_ids(table(spark, d, "documents", "doc_id", "text"), "byte_bpe_50k")
 
 
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    specs = table(spark, d, "container_specs")
+    names = [r.tokenizer for r in specs.select("tokenizer").distinct().collect()]  # a row a tokenizer
+    counts = tokenise.token_counts(table(spark, d, "documents", "doc_id", "text"), names)
+    return containers.pack_documents(counts, specs)
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return containers.packing_report(p8_pack(spark, d), table(spark, d, "container_specs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
@@ -73,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_ids": p7_ids,
+    "p8_pack": p8_pack,
+    "p8_report": p8_report,
 }
