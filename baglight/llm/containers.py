@@ -251,7 +251,7 @@ def pack_documents(sizes: DataFrame, specs: DataFrame, nodes: int = NODES) -> Da
     if any(c < 1 for _, c in spec.values()):
         raise ValueError("a container holds at least one token")
     table = spark.createDataFrame([(i, t, c) for i, (t, c) in spec.items()], "spec_id int, tokenizer string, capacity long")
-    docs = sizes.join(F.broadcast(table), "tokenizer").select("spec_id", "capacity", "doc_id", F.coalesce("tokens", F.lit(0)).alias("n"))
+    docs = stage(sizes, "sizes").join(F.broadcast(table), "tokenizer").select("spec_id", "capacity", "doc_id", F.coalesce("tokens", F.lit(0)).alias("n"))
     full = (F.col("n") / F.col("capacity")).cast("long")
     rest = F.col("n") - full * F.col("capacity")
     pieces = F.concat(F.array_repeat(F.col("capacity"), full.cast("int")), F.when((rest > 0) | (F.col("n") == 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))

@@ -213,7 +213,9 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, rare: np.ndarray, sketch: np.n
     # Only members before a place, that is with no more rare words, are its partners; in a band's cell, few enough rare words for the band.
     band = (key[place] & np.uint64(15)).astype(np.int64) - 1
     limits = bands(4096)
-    low = np.array([b[0] for b in limits[:15]] + [0])[np.where(band >= 0, np.minimum(band, 14), -1)]
+    which = np.where(band >= 0, np.minimum(band, 14), 15)
+    low = np.array([b[0] for b in limits[:15]] + [-(1 << 30)])[which]
+    high = np.array([b[1] for b in limits[:14]] + [1 << 30, 1 << 30])[which]
     s, r = size[owner[place]], rare[owner[place]]
     # A partner of size x has |x - rare - (s - r)| <= u and u >= low: sizes up to s / 0.7 bound u from above.
     most = most_different(s, (s * OF) // SHARED) - low - r
@@ -221,6 +223,9 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, rare: np.ndarray, sketch: np.n
     stop = np.where(band >= 0, np.searchsorted(code, (code[place] >> 20 << 20) + np.clip(most, -1, (1 << 20) - 1), side="right"), place)
     number = np.maximum(np.minimum(stop, place) - begin, 0)
     counts = _nibbles(sketch)
+    ones = np.uint64(0x1111111111111111)
+    parity = (sketch[:, 0] & ones) | ((sketch[:, 1] & ones) << np.uint64(1))
+    plain = size - rare
     upto = np.cumsum(number)
     at = 0
     while at < len(place):
@@ -232,8 +237,13 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, rare: np.ndarray, sketch: np.n
             a = np.repeat(owner[place[at:end]], n)
             off = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
             b = owner[np.repeat(begin[at:end], n) + off]
+            # Segments of odd difference are the cheapest bound; then the band that the pair's own u belongs to.
             t = most_different(size[a], size[b])
-            ok = (np.abs(size[a] - size[b]) <= t) & (a != b)
+            ok = (np.bitwise_count(parity[a] ^ parity[b]) <= t) & (a != b)
+            lo, hi = np.repeat(low[at:end], n)[ok], np.repeat(high[at:end], n)[ok]
+            a, b, t = a[ok], b[ok], t[ok]
+            u = t - rare[a] - rare[b]
+            ok = (u >= lo) & (u <= hi) & ((np.abs(plain[a] - plain[b]) <= u) | (lo < 0)) & (np.abs(size[a] - size[b]) <= t)
             a, b, t = a[ok], b[ok], t[ok]
             x, y = counts[a], counts[b]
             ok = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int16) <= t
