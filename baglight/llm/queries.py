@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from baglight.llm import category_sample, containers, near_captions, related_splits, split_overlap, tokenise
+from baglight.llm import category_sample, containers, near_captions, related_splits, split_overlap, subjects, tokenise
 from baglight.operators.rows import latest
 from baglight.sources.tables import table
 
@@ -74,6 +74,16 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return containers.packing_report(p8_pack(spark, d), table(spark, d, "container_specs"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text", "lang")
+    model = subjects.fit(docs, table(spark, d, "subject_labels", "doc_id", "subject"), table(spark, d, "subject_areas", "subject"))
+    return subjects.subjects(docs, model)
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents", "doc_id", "lang", "source"), p9_found(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_split": p1_split,
@@ -86,4 +96,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": p7_ids,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
