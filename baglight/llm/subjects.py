@@ -1,7 +1,7 @@
 """Subject area of each document.
 
 Documents are embedded by term weighting and truncated singular value decomposition and compared by
-cosine with one centroid a subject and language. The centroids' seeds are the documents labelled by
+cosine with one centroid a subject and language, and one for documents without subject. The centroids' seeds are the documents labelled by
 hand; they are refined by all documents, each as far as it is near a centroid. What the documents
 then say about their terms refines the term weights (a term found under all subjects alike, as the
 words of a phrase or a word with other senses, ends with weight 0), with which the documents are
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
         full[live] = basis
         embedded = stage(rows.mapInArrow(_embedder(spark, weight, full), "doc_id long, lang int, mask int, terms array<int>, x array<float>"), "embedded")
         centre, centroid = _refine(embedded, k)
-        share, seen, by_lang = _term_table(embedded, centre, centroid, k, len(words))
+        share, seen, by_lang = (x[:, : k if i != 1 else None] for i, x in enumerate(_term_table(embedded, centre, centroid, k + 1, len(words))))
         drop_stage(embedded)
         weight, subject = _topical(share, seen, by_lang, df, idf, single if turn < ROUNDS - 1 else np.arange(len(words)))
         basis = full
@@ -269,12 +269,14 @@ def _points(b: pa.RecordBatch, centre: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _labelled(mask: np.ndarray, k: int) -> np.ndarray:
-    return ((np.maximum(mask, 0)[:, None] >> np.arange(k)) & 1).astype(np.float64)
+    """Subjects of labelled documents, and none as the last."""
+    y = (np.maximum(mask, 0)[:, None] >> np.arange(k)) & 1
+    return np.concatenate([y, (mask == 0)[:, None]], axis=1).astype(np.float64)
 
 
 def _assign(lang: np.ndarray, mask: np.ndarray, z: np.ndarray, centroid: np.ndarray) -> np.ndarray:
     """Soft subjects of documents; labelled ones lean on their labels."""
-    k = centroid.shape[1]
+    k = centroid.shape[1] - 1
     cosine = np.einsum("nd,nkd->nk", z, centroid[lang])
     q = np.exp(SHARP * (cosine - cosine.max(axis=1, keepdims=True)))
     q *= np.clip((cosine.max(axis=1) - NEAR) / WIDTH, 0, 1)[:, None] / q.sum(axis=1, keepdims=True)
@@ -285,7 +287,7 @@ def _assign(lang: np.ndarray, mask: np.ndarray, z: np.ndarray, centroid: np.ndar
 
 
 def _refine(embedded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean of each language and unit centroids (language, subject, rank): seeds first, then REFINES rounds over all documents."""
+    """Mean of each language and unit centroids (language, subject or none, rank): seeds first, then REFINES rounds over all documents."""
     spark = embedded.sparkSession
 
     def sums(of: Callable) -> np.ndarray:
@@ -322,12 +324,12 @@ def _refine(embedded: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 q = y / np.maximum(y.sum(axis=1, keepdims=True), 1)
             else:
                 q = _assign(lang, mask, z, now)
-            out = np.zeros((LANGUAGES * k, RANK))
-            for s in range(k):
-                np.add.at(out, lang * k + s, z * q[:, [s]])
+            out = np.zeros((LANGUAGES * (k + 1), RANK))
+            for s in range(k + 1):
+                np.add.at(out, lang * (k + 1) + s, z * q[:, [s]])
             return out
 
-        total = _sum_blocks(rows.mapInArrow(sums(pull), "block int, value binary"), LANGUAGES * k, RANK).reshape(LANGUAGES, k, RANK)
+        total = _sum_blocks(rows.mapInArrow(sums(pull), "block int, value binary"), LANGUAGES * (k + 1), RANK).reshape(LANGUAGES, k + 1, RANK)
         total = total + 0.02 * total.sum(axis=0)  # a language without seeds begins at the subject's common centroid
         centroid = total / np.maximum(np.linalg.norm(total, axis=2, keepdims=True), 1e-12)
     return centre, centroid
