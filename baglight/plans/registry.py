@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from baglight.plans import pipeline
+from baglight.plans import pipeline, recognition
 
-QUERIES: dict = {**pipeline.QUERIES}
-ORACLES: dict = {**pipeline.ORACLES}
+_MODULES = (recognition, pipeline)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
