@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Spellings of the classes, in class order.
 SYNONYMS: dict[str, int] = {
@@ -69,7 +70,7 @@ def label_class(raw: Column) -> Column:
     )
 
 
-@F.pandas_udf("cls int, status string")
+@F.pandas_udf(T.StructType([T.StructField("cls", T.IntegerType()), T.StructField("status", T.StringType())]))
 def _nearest(clean: pd.Series) -> pd.DataFrame:
     """The longest spelling of at least four letters within a label, else the most similar one from 0.8 on."""
     names = sorted(SYNONYMS, key=lambda s: -len(s))

@@ -228,5 +228,5 @@ select cls, round(sum(-(y * ln(greatest(p, 1e-8)) + (1 - y) * pow(1 - q, 4) * ln
 c as (select vec_id as uid, cls, sum(v * m) / (sqrt(sum(v * v)) * sqrt(sum(m * m))) * 10 as v from val join cen using (i) group by all)
 select uid, cls, round(exp(v - max(v) over (partition by uid)) / sum(exp(v)) over (partition by uid) * exp(max(v) over (partition by uid)), 5) as share from c""",
     "yolo_lines": f"""with {BOXES}, j as (select uid, k, cls, (x1 + x2) / 2 / img_w as cx, (y1 + y2) / 2 / img_h as cy, (x2 - x1) / img_w as w, (y2 - y1) / img_h as h from gt join idx using (uid) where img_w > 0 and img_h > 0)
-select uid, string_agg(printf('%d %.6f %.6f %.6f %.6f', cls, cx, cy, w, h), chr(10) order by k) as text from j group by uid""",
+select uid, string_agg(printf('%d %.6f %.6f %.6f %.6f', cls, round(cx, 6), round(cy, 6), round(w, 6), round(h, 6)), chr(10) order by k) as text from j group by uid""",
 }

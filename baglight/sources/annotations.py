@@ -16,7 +16,7 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, length, content of every file below a folder whose name fits."""
+    """path, length, content of every file below a folder whose name fits; Spark passes over files without bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
 
 
@@ -125,7 +125,7 @@ def yolo_lines(boxes: DataFrame) -> DataFrame:
     """uid, text: a line `class cx cy w h` a box (uid, k, cls, x1, y1, x2, y2, img_w, img_h), in shares of the picture with six digits."""
     w, h = F.col("img_w"), F.col("img_h")
     shares = ((F.col("x1") + F.col("x2")) / 2 / w, (F.col("y1") + F.col("y2")) / 2 / h, (F.col("x2") - F.col("x1")) / w, (F.col("y2") - F.col("y1")) / h)
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", "cls", *[F.bround(x, 6) for x in shares])
+    line = F.format_string("%d %.6f %.6f %.6f %.6f", "cls", *[F.round(x, 6) for x in shares])
     lines = F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"])  # the boxes of one scan
     return boxes.filter("cls >= 0").groupBy("uid").agg(F.concat_ws("\n", lines).alias("text"))
 
