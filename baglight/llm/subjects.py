@@ -207,13 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
     for turn in range(ROUNDS):
         live = np.flatnonzero(weight[single] > 0)
         live = single[live]
-        if len(live) <= RANK:
+        if not len(live):
             break
+        rank = min(RANK, len(live))
         narrow = np.zeros(len(words), np.int64)
         narrow[live] = np.arange(len(live))
-        basis = _subspace(rows, weight, narrow, basis[live], PASSES + (turn == 0))
         full = np.zeros((len(words), RANK))
-        full[live] = basis
+        full[live, :rank] = _subspace(rows, weight, narrow, basis[live, :rank], PASSES + (turn == 0))
         embedded = stage(rows.mapInArrow(_embedder(spark, weight, full), "doc_id long, lang int, mask int, terms array<int>, x array<float>"), "embedded")
         centre, centroid = _refine(embedded, k)
         share, seen, by_lang = (x[:, : k if i != 1 else None] for i, x in enumerate(_term_table(embedded, centre, centroid, k + 1, len(words))))
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
 def _subspace(rows: DataFrame, weight: np.ndarray, narrow: np.ndarray, start: np.ndarray, passes: int) -> np.ndarray:
     """Orthonormal basis of the leading right singular vectors, by subspace iteration over the documents."""
     spark = rows.sparkSession
-    q = np.linalg.qr(start)[0]
+    q = np.linalg.qr(start + 1e-6 * np.random.default_rng(6).standard_normal(start.shape))[0]
     for _ in range(passes):
         shared = spark.sparkContext.broadcast((weight, narrow, q.astype(np.float32)))
 
