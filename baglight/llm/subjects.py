@@ -35,8 +35,10 @@ from baglight.functions.stage import drop_stage, stage
 
 SHARE = 0.25
 TERMS, WORDS, LEAST_DOCS = 65536, 16384, 4
-RANK, LANGUAGES = 64, 8
+RANK, LANGUAGES = 96, 8
 ROUNDS, PASSES, REFINES = 3, 2, 3
+#: The most that a document of a rare language may count for in the decomposition.
+MOST_SAY = 20.0
 #: Sharpness of the soft assignment; cosine at which a document begins to count, and its width.
 SHARP, NEAR, WIDTH = 12.0, 0.2, 0.3
 #: Weight of a hand label against the document's own assignment; labels can be wrong.
@@ -171,7 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
     vocabulary = _vocabulary(docs.filter("text is not null"))
     if not vocabulary or not k:
         return Model([], np.zeros(0), np.zeros(0, int), names)
-    spoken = [r.lang for r in docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES - 1).collect()]  # at most LANGUAGES
+    known = docs.filter("text is not null and lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES - 1).collect()  # at most LANGUAGES
+    spoken = [r.lang for r in known]
+    # In the decomposition every language has the same say, or the subjects of the lesser ones would fall out of it.
+    say = np.ones(LANGUAGES)
+    say[: len(known)] = [min(known[0].n / r.n, MOST_SAY) for r in known]
     words = list(vocabulary)
     total = docs.count()
     df = np.array([vocabulary[w] for w in words], np.float64)
@@ -213,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
         narrow = np.zeros(len(words), np.int64)
         narrow[live] = np.arange(len(live))
         full = np.zeros((len(words), RANK))
-        full[live, :rank] = _subspace(rows, weight, narrow, basis[live, :rank], PASSES + (turn == 0))
+        full[live, :rank] = _subspace(rows, weight, narrow, say, basis[live, :rank], PASSES + (turn == 0))
         embedded = stage(rows.mapInArrow(_embedder(spark, weight, full), "doc_id long, lang int, mask int, terms array<int>, x array<float>"), "embedded")
         centre, centroid = _refine(embedded, k)
         share, seen, by_lang = (x[:, : k if i != 1 else None] for i, x in enumerate(_term_table(embedded, centre, centroid, k + 1, len(words))))
@@ -225,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
     return Model(words, np.where(weight > 1.0, weight, 0), subject, names)
 
 
-def _subspace(rows: DataFrame, weight: np.ndarray, narrow: np.ndarray, start: np.ndarray, passes: int) -> np.ndarray:
+def _subspace(rows: DataFrame, weight: np.ndarray, narrow: np.ndarray, say: np.ndarray, start: np.ndarray, passes: int) -> np.ndarray:
     """Orthonormal basis of the leading right singular vectors, by subspace iteration over the documents."""
     spark = rows.sparkSession
     q = np.linalg.qr(start + 1e-6 * np.random.default_rng(6).standard_normal(start.shape))[0]
@@ -238,12 +244,12 @@ def _subspace(rows: DataFrame, weight: np.ndarray, narrow: np.ndarray, start: np
             for b in batches:
                 n, doc, term, value = _sparse(b, w)
                 term = at[term]
-                x = _embed(n, doc, term, value, basis)
+                x = _embed(n, doc, term, value, basis) * say[np.asarray(b.column("lang"))][:, None]
                 for c in range(basis.shape[1]):
                     out[:, c] += np.bincount(term, weights=value * x[doc, c], minlength=len(out))
             yield from _blocks(out)
 
-        y = _sum_blocks(rows.select("terms", "counts").mapInArrow(multiply, "block int, value binary"), len(q), q.shape[1])
+        y = _sum_blocks(rows.select("lang", "terms", "counts").mapInArrow(multiply, "block int, value binary"), len(q), q.shape[1])
         q = np.linalg.qr(y + 1e-9 * q)[0]
         shared.unpersist()
     return q
