@@ -62,3 +62,22 @@ def speed(rows: DataFrame) -> DataFrame:
     """One row: factor, the median ratio of actual to estimated time, between 0.3 and 3."""
     r = F.median(F.expr("try_divide(actual, estimated)"))
     return rows.agg(F.coalesce(F.least(F.greatest(r, F.lit(0.3)), F.lit(3.0)), F.lit(1.0)).alias("factor"))
+
+
+def states(specs: DataFrame, done: DataFrame, started: DataFrame) -> DataFrame:
+    """name, state: 'done' with a result row, 'started' with a checkpoint, 'ready' if all it needs is done, else 'waiting'; specs: name, needs (array)."""
+    ready = specs.select("name", F.explode("needs").alias("dep")).join(done.select(F.col("name").alias("dep")), "dep", "left_anti").select("name").distinct().withColumn("open", F.lit(True))
+    flag = lambda df, c: df.select("name").distinct().withColumn(c, F.lit(True))
+    j = specs.join(flag(done, "is_done"), "name", "left").join(flag(started, "is_started"), "name", "left").join(ready, "name", "left")
+    return j.select("name", F.when(F.col("is_done"), "done").when(F.col("is_started"), "started").when(F.col("open"), "waiting").otherwise("ready").alias("state"))
+
+
+def missing(specs: DataFrame, table: DataFrame) -> DataFrame:
+    """Names of specs without a row (run) in a result table."""
+    return specs.join(table.select(F.col("run").alias("name")), "name", "left_anti").select("name")
+
+
+def top_cases(rows: DataFrame, group: str, value: str, n: int, key: str, largest: bool = True) -> DataFrame:
+    """The n rows of each group with the largest (or smallest) value, ties by key."""
+    order = F.desc_nulls_last(value) if largest else F.asc_nulls_last(value)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, key))).filter(F.col("place") <= n)
