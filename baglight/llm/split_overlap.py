@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from baglight.functions.stage import stage
+from baglight.operators.splits import near_signatures, signatures
 
 MAX_BITS = 12
-BLOCKS = MAX_BITS // 2 + 1
 WINDOW, MASK, LEAST, MOST = 8, 15, 4, 64
 
 
@@ -124,58 +124,14 @@ def same_files(held_out: DataFrame, train: DataFrame) -> DataFrame:
     return mine.join(whole, "file", "left_semi").select(F.col("uid").alias("b"), "file").join(theirs.select(F.col("uid").alias("a"), "file"), "file").select("a", "b")
 
 
-def _edges() -> list[tuple[int, int]]:
-    """First bit and width of each block of the 128."""
-    at = [round(i * 128 / BLOCKS) for i in range(BLOCKS + 1)]
-    return [(a, z - a) for a, z in zip(at, at[1:], strict=False)]
-
-
-def _block(first: int, bits: int) -> Column:
-    """Bits first..first+bits-1 of sig_d (0-63) and sig_a (64-127)."""
-
-    def part(c: str, lo: int, n: int) -> Column:
-        return F.shiftrightunsigned(F.col(c), lo).bitwiseAND(F.lit((1 << n) - 1))
-
-    if first + bits <= 64:
-        return part("sig_d", first, bits)
-    if first >= 64:
-        return part("sig_a", first - 64, bits)
-    low = 64 - first
-    return part("sig_d", first, low).bitwiseOR(F.shiftleft(part("sig_a", 0, bits - low), low))
-
-
-def _keyed(i: int, value: Column) -> Column:
-    return value.bitwiseOR(F.lit(i << 32))
-
-
-def _flipped(value: Column, bits: int) -> Column:
-    """The value and each of its neighbours with one of its bits flipped."""
-    return F.transform(F.lit([0, *[1 << j for j in range(bits)]]), lambda x: value.bitwiseXOR(x))
-
-
-def near_signatures(held_out: DataFrame, train: DataFrame) -> DataFrame:
-    """d, a, td, ta: distinct signatures of both sides that differ in at most MAX_BITS bits."""
-    edges = _edges()
-    own = [_keyed(i, _block(f, n)) for i, (f, n) in enumerate(edges)]
-    flips = [_flipped(k, n) for k, (_, n) in zip(own, edges, strict=True)]
-    probes = held_out.select("sig_d", "sig_a", F.explode(F.flatten(F.array(*flips))).alias("key")).withColumnsRenamed({"sig_d": "d", "sig_a": "a"})
-    index = train.select("sig_d", "sig_a", F.explode(F.array(*own)).alias("key")).withColumnsRenamed({"sig_d": "td", "sig_a": "ta"})
-    distance = F.bit_count(F.col("d").bitwiseXOR(F.col("td"))) + F.bit_count(F.col("a").bitwiseXOR(F.col("ta")))
-    return probes.join(index, "key").filter(distance <= MAX_BITS).select("d", "a", "td", "ta").distinct()
-
-
-def signed(rows: DataFrame) -> DataFrame:
-    return rows.filter("sig_d is not null and sig_a is not null and not (sig_d = 0 and sig_a = 0)").select("uid", "sig_d", "sig_a")
-
-
 def cross_split_pairs(scans: DataFrame) -> DataFrame:
     """a (in train), b (in val or test) of scans (uid, part, img_path, sig_d, sig_a), each pair once."""
     rows = stage(scans.select("uid", "part", "img_path", "sig_d", "sig_a").filter(F.col("part").isin("train", "val", "test")), "scans")
     train, held = rows.filter("part = 'train'"), rows.filter("part <> 'train'")
-    signs, held_signs = signed(train), signed(held)
-    near = stage(near_signatures(held_signs.select("sig_d", "sig_a").distinct(), signs.select("sig_d", "sig_a").distinct()), "near")
-    b = held_signs.select(F.col("uid").alias("b"), F.col("sig_d").alias("d"), F.col("sig_a").alias("a_")).join(near.withColumnRenamed("a", "a_"), ["d", "a_"]).select("b", "td", "ta")
-    pairs = b.join(signs.select(F.col("uid").alias("a"), F.col("sig_d").alias("td"), F.col("sig_a").alias("ta")), ["td", "ta"]).select("a", "b")
+    signs, held_signs = signatures(train), signatures(held)
+    near = stage(near_signatures(held_signs.select("d", "a").distinct(), signs.select("d", "a").distinct(), MAX_BITS), "near")
+    b = held_signs.withColumnRenamed("uid", "held").join(near, ["d", "a"]).select("held", "d2", "a2")
+    pairs = b.join(signs.select("uid", F.col("d").alias("d2"), F.col("a").alias("a2")), ["d2", "a2"]).select(F.col("uid").alias("a"), F.col("held").alias("b"))
     return pairs.union(same_files(held, train)).distinct()
 
 
