@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from baglight.functions.stage import stage
 from baglight.operators.rows import running_sum
 
 CLASSES = 20
-RAKE_ROUNDS = 30
+RAKE_ROUNDS = 100
 
 
 def classed(scans: DataFrame) -> DataFrame:
@@ -48,21 +50,45 @@ def needs(targets: DataFrame) -> DataFrame:
     return targets.withColumn("need", F.greatest("min_rows", share)).groupBy("part", "class_id").agg(F.max("need").alias("need"), F.max("min_rows").alias("min_rows"), F.max("share_permille").alias("share_permille"), F.max("sample_rows").alias("sample_rows"))
 
 
-def _rake(patterns: DataFrame, wanted: dict, rows: dict) -> dict:
-    """Factor of each (part, class), so that the expected rows of each class come near wanted."""
-    spark = patterns.sparkSession
-    factor = {k: 1.0 for k in wanted}
-    for _ in range(RAKE_ROUNDS):
-        got = {(r.part, r.class_id): r.expected for r in with_probability(patterns, factor).select("part", F.explode("classes").alias("class_id"), (F.col("n") * F.col("p")).alias("expected")).groupBy("part", "class_id").agg(F.sum("expected").alias("expected")).collect()}  # a row a part and class
-        worst = 0.0
-        for k, want in wanted.items():
-            have = got.get(k, 0.0)
-            if have > 0 and want > 0:
-                worst = max(worst, abs(have / want - 1))
-                factor[k] = min(1e6, max(1e-9, factor[k] * (want / have) ** 0.7))
-        if worst < 0.02:
-            break
-    return factor
+def _rake(patterns: DataFrame, wanted: dict) -> dict:
+    """Factor of each (part, class), so that the expected rows of each class come near wanted.
+
+    A part has at most 2 ** CLASSES + 1 patterns, whatever the rows, so one task holds them as bit masks and
+    counts (12 MB at the very most) and adjusts the factors in place.
+    """
+    if not wanted:
+        return {}
+
+    def adjust(key: tuple, t: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        ids = sorted(c for p, c in wanted if p == part)
+        n = np.asarray(t.column("n")).astype(np.float64)
+        mask = np.asarray(t.column("mask"))
+        has = [(mask >> (c + 1)) & 1 == 1 for c in ids]
+        # A pattern with a class that isn't wanted is never drawn.
+        mine = sum(1 << (c + 1) for c in ids)
+        base = ((mask & ~np.int64(mine)) == 0) & (mask != 0)
+        factor = np.ones(len(ids))
+        for _ in range(RAKE_ROUNDS):
+            p = np.where(base, n, 0.0)
+            share = np.ones(len(n))
+            for h, f in zip(has, factor, strict=True):
+                share[h] *= f
+            p *= np.minimum(share, 1.0)
+            worst = 0.0
+            for i, c in enumerate(ids):
+                have, want = p[has[i]].sum(), wanted[part, c]
+                if have > 0:
+                    worst = max(worst, abs(have / want - 1))
+                    factor[i] = min(1e6, max(1e-9, factor[i] * (want / have) ** 0.7))
+            if worst < 0.01:
+                break
+        return pa.table({"part": pa.array([part] * len(ids), pa.string()), "class_id": pa.array(ids, pa.int32()), "factor": pa.array(factor, pa.float64())})
+
+    bits = F.aggregate("classes", F.lit(0).cast("long"), lambda a, c: a.bitwiseOR(F.pow(F.lit(2.0), c + 1).cast("long")))
+    bits = F.when(F.array_contains("classes", -1), F.lit(1).cast("long")).otherwise(bits)
+    got = patterns.select("part", bits.alias("mask"), "n").groupBy("part").applyInArrow(adjust, "part string, class_id int, factor double")
+    return {(r.part, r.class_id): r.factor for r in got.collect()}  # a row a part and class
 
 
 def with_probability(rows: DataFrame, factor: dict) -> DataFrame:
@@ -87,7 +113,7 @@ def sample_to_targets(scans: DataFrame, targets: DataFrame, seed: int = 11) -> t
         floor[r.part, r.class_id] = min(r.min_rows, r.supply)
         aim[r.part, r.class_id] = min(max(floor[r.part, r.class_id], r.share_permille * r.sample_rows / 1000), r.supply)
         size[r.part] = r.sample_rows
-    p = with_probability(rows, _rake(patterns, {k: v for k, v in aim.items() if v > 0}, size))
+    p = with_probability(rows, _rake(patterns, {k: v for k, v in aim.items() if v > 0}))
     total = {r.part: r.p for r in p.groupBy("part").agg(F.sum("p").alias("p")).collect()}  # a row a part
     scale = F.coalesce(*[F.when(F.col("part") == k, F.lit(min(1.0, size[k] / v) if v else 0.0)) for k, v in total.items()], F.lit(0.0)) if total else F.lit(0.0)
     p = p.withColumn("p", F.col("p") * scale).withColumn("draw", F.xxhash64(F.lit(seed), "uid"))
