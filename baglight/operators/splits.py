@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baglight.functions.stage import stage
 from baglight.operators.graph import components
+from baglight.operators.rows import running_sum
 
 
 def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -109,3 +110,30 @@ def select_part(scans: DataFrame, part: str, excluded: list[int]) -> DataFrame:
     held = F.array(*[F.lit(i) for i in excluded]).cast("array<int>")
     clear = ~F.coalesce(F.arrays_overlap(F.array_compact("labels"), held), F.lit(False))
     return scans.filter((F.col("part") == part) & F.coalesce("cache_ok", F.lit(False)) & clear)
+
+
+def subset(scans: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """A share of scans (uid, labels) that keeps the share of every pattern of labels: within the patterns in hash order, each row at which the running share passes a whole number."""
+    pattern = F.coalesce(F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("labels")), lambda c: c.cast("string"))), F.lit("?"))
+    order = [F.col("__pattern"), F.xxhash64(F.lit(seed), "uid"), F.col("uid")]
+    summed = running_sum(scans.withColumn("__pattern", pattern), order, F.lit(1).cast("long"), "__upto")
+    at = lambda c: F.floor(c * F.lit(float(fraction)))
+    return summed.filter(at(F.col("__upto")) > at(F.col("__upto") - 1)).drop("__pattern", "__upto")
+
+
+def grouped_split(scans: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
+    """uid, side ('val' or 'train') of scans (uid, group, labels): groups stay whole, and sizes and rarest labels are spread over both sides.
+
+    Groups are ordered by size band, rarest label and hash, and every 1 / fraction-th goes to 'val'; a
+    group larger than all of 'val' should be goes to 'train'.
+    """
+    long = scans.select("group", F.explode_outer(F.array_distinct("labels")).alias("label")).select("group", F.coalesce("label", F.lit(-1)).alias("label"))
+    rows = long.groupBy("label").agg(F.count("*").alias("rows"))
+    rare = long.distinct().join(rows, "label").groupBy("group").agg(F.min_by("label", F.struct("rows", "label")).alias("label"))
+    groups = scans.groupBy("group").agg(F.count("*").alias("n")).join(rare, "group")
+    order = [-F.floor(F.log2("n")), F.col("label"), F.xxhash64(F.lit(seed), F.col("group").cast("string")), F.col("group")]
+    total = scans.count()
+    summed = running_sum(groups, order, F.lit(1).cast("long"), "upto")
+    at = lambda c: F.floor(c * F.lit(float(fraction)) + 0.5)
+    taken = (at(F.col("upto")) > at(F.col("upto") - 1)) & (F.col("n") <= total * fraction)
+    return scans.join(summed.select("group", F.when(taken, "val").otherwise("train").alias("side")), "group").select("uid", "side")

@@ -111,6 +111,8 @@ QUERIES = {
     "split_report": lambda s, d: splits.split_report(scans(s, d, "part", "labels")),
     "split_class_report": lambda s, d: splits.class_report(scans(s, d, "part", "labels"), 20),
     "part_select": lambda s, d: splits.select_part(scans(s, d, "part", "cache_ok", "labels"), "train", [8, 11]).select("uid"),
+    "train_subset": lambda s, d: splits.subset(scans(s, d, "part", "labels").filter("part = 'train'").select("uid", "labels"), 0.4).select("uid"),
+    "grouped_split": lambda s, d: splits.grouped_split(scans(s, d, "dup_group", "labels").select("uid", F.when(F.col("dup_group") >= 0, F.col("dup_group").cast("string")).otherwise(F.col("uid")).alias("group"), "labels"), 0.15),
     "label_vocab": _vocabulary,
     "bbox_vote": lambda s, d: rounded(_box_vote(s, d)),
     "resolve_box": lambda s, d: rounded(_resolved(s, d)),
