@@ -16,22 +16,26 @@ def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
 
 
 def blocks(d: Column, a: Column, most: int) -> list[tuple[Column, int]]:
-    """The 128 bits in most // 2 + 1 blocks: two signatures at most `most` bits apart have a block with at most one bit different."""
-    n = most // 2 + 1
+    """The 128 bits in most // 2 + 1 blocks (two at least): two signatures at most `most` bits apart have a block with at most one bit different."""
+    n = max(2, most // 2 + 1)
     at = [round(i * 128 / n) for i in range(n + 1)]
     out = []
-    for i, (lo, hi) in enumerate(zip(at, at[1:], strict=False)):
+    for lo, hi in zip(at, at[1:], strict=False):
         parts = []
         for half, base in ((d, 0), (a, 64)):
             s, e = max(lo, base), min(hi, base + 64)
             if s < e:
                 bits = half if e - s == 64 else F.shiftrightunsigned(half, s - base).bitwiseAND(F.lit((1 << (e - s)) - 1))
                 parts.append(F.shiftleft(bits, s - lo) if s > lo else bits)
-        value = parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1])
-        out.append((F.struct(F.lit(i).alias("block"), value.alias("value")), hi - lo))
+        out.append((parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1]), hi - lo))
     return out
 
 
+def _key(i: int, value: Column, bits: int) -> Column:
+    """One number for block i with this value; wide blocks are hashed, which can only add candidates."""
+    return value.bitwiseOR(F.lit(i << 56)) if bits <= 56 else F.xxhash64(F.lit(i), value)
+
+
 def near_signatures(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """d, a, d2, a2, distance of distinct signatures (d, a) of both sides at most `most` bits apart.
 
@@ -40,11 +44,12 @@ def near_signatures(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """
     made = blocks(F.col("d"), F.col("a"), most)
 
-    def probe(block: Column, bits: int) -> Column:
-        return F.transform(F.lit([0, *[1 << j for j in range(bits)]]), lambda x: F.struct(block["block"].alias("block"), block["value"].bitwiseXOR(x).alias("value")))
+    def probe(i: int, value: Column, bits: int) -> Column:
+        flips = F.lit([0, *[(1 << j) - ((1 << 64) if j == 63 else 0) for j in range(bits)]]).cast("array<bigint>")
+        return F.transform(flips, lambda x: _key(i, value.bitwiseXOR(x), bits))
 
-    probes = left.select("d", "a", F.explode(F.flatten(F.array(*[probe(b, n) for b, n in made]))).alias("key"))
-    filed = right.select(F.col("d").alias("d2"), F.col("a").alias("a2"), F.explode(F.array(*[b for b, _ in made])).alias("key"))
+    probes = left.select("d", "a", F.explode(F.flatten(F.array(*[probe(i, v, n) for i, (v, n) in enumerate(made)]))).alias("key"))
+    filed = right.select(F.col("d").alias("d2"), F.col("a").alias("a2"), F.explode(F.array(*[_key(i, v, n) for i, (v, n) in enumerate(made)])).alias("key"))
     gap = hamming((F.col("d"), F.col("a")), (F.col("d2"), F.col("a2"))).alias("distance")
     return probes.join(filed, "key").select("d", "a", "d2", "a2", gap).filter(F.col("distance") <= most).distinct()
 

@@ -86,10 +86,12 @@ def test_near_signatures_miss_nothing(spark):
 
     rows = base + [flipped(s, n) for s in base for n in (1, 11, 12, 13)]
     df = spark.createDataFrame([(f"u{i:04}", d, a) for i, (d, a) in enumerate(rows)], "uid string, sig_d long, sig_a long")
-    got = {(r.a, r.b, r.distance) for r in splits.near_duplicates(splits.signatures(df), 12).collect()}
+    sigs = splits.signatures(df)
     gap = lambda x, y: sum(((p ^ q) % 2**64).bit_count() for p, q in zip(x, y, strict=True))
-    want = {(f"u{i:04}", f"u{j:04}", gap(rows[i], rows[j])) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 0 < gap(rows[i], rows[j]) <= 12}
-    assert got == want
+    every = {(f"u{i:04}", f"u{j:04}", gap(rows[i], rows[j])) for i in range(len(rows)) for j in range(i + 1, len(rows))}
+    for most in (12, 2, 1, 0):
+        got = {(r.a, r.b, r.distance) for r in splits.near_duplicates(sigs, most).collect()}
+        assert got == {p for p in every if 0 < p[2] <= most}
     groups, bits = splits.duplicate_groups(splits.signatures(df))
     assert groups.count() == len(rows) and 4 <= bits <= 12
 
