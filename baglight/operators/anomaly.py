@@ -142,3 +142,16 @@ def k_centre(bank: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     out = spark.createDataFrame([(int(c[key]), i) for i, c in enumerate(chosen)], f"`{key}` long, step int")
     rows.unpersist()
     return out
+
+
+def dilate(cells: DataFrame, value: str, reach: int = 1) -> DataFrame:
+    """Cells (uid, r, c, ...) with the greatest value of all cells at most `reach` away, diagonals included: each cell is sent to its neighbours, and only maxima are shuffled."""
+    shift = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+    sent = cells.select("uid", "r", "c", F.col(value).alias("__v")).withColumn("dr", shift).withColumn("dc", shift)
+    top = sent.select("uid", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"), "__v").groupBy("uid", "r", "c").agg(F.max("__v").alias("__v"))
+    return cells.drop(value).join(top, ["uid", "r", "c"]).withColumnRenamed("__v", value)
+
+
+def clutter_fit(cells: DataFrame) -> DataFrame:
+    """robust_fit over the cells (v, g) outside the mask."""
+    return robust_fit(cells.filter("g <= 0"), "v")

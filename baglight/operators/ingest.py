@@ -97,3 +97,9 @@ def word_shares(rows: DataFrame, column: str, words: list[str]) -> DataFrame:
     text = F.lower(F.coalesce(column, F.lit("")))
     r = rows.agg(*[F.avg(text.contains(w).cast("double")).alias(f"w{i}") for i, w in enumerate(words)])
     return r.select(F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"w{i}").alias("share")) for i, w in enumerate(words)])).alias("r")).select("r.*")
+
+
+def log_histogram(rows: DataFrame, column: str, bins: int) -> DataFrame:
+    """bin, n over `bins` bins of equal width of the logarithm of the positive values; the last bin holds its upper end."""
+    v = F.col(column).cast("double")
+    return histogram(rows.filter(v > 0).select(F.ln(v).alias("v")), "v", bins)

@@ -52,3 +52,29 @@ def softmax(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Adds share: exp(value - max) over the sum of its group."""
     w = Window.partitionBy(by)
     return rows.withColumn("e", F.exp(F.col(value) - F.max(value).over(w))).withColumn("share", F.col("e") / F.sum("e").over(w)).drop("e")
+
+
+def cross_entropy(y: Column, p: Column, weight: Column | float = 1.0) -> Column:
+    q = F.least(F.greatest(p, F.lit(1e-8)), F.lit(1 - 1e-8))
+    w = F.lit(weight) if isinstance(weight, float) else weight
+    return -w * (y * F.ln(q) + (1 - y) * F.ln(1 - q))
+
+
+def mask_loss(cells: DataFrame, smooth: float = 1.0) -> DataFrame:
+    """One row: loss, the mean cross-entropy of cells (p, g) plus one less the Dice of all cells together."""
+    dice = (2 * F.sum(F.col("p") * F.col("g")) + smooth) / (F.sum("p") + F.sum("g") + smooth)
+    return cells.agg((F.avg(cross_entropy(F.col("g"), F.col("p"))) + 1 - dice).alias("loss"))
+
+
+def cosine_rate(step: Column, total: int, warm: int, floor: float) -> Column:
+    """Learning-rate factor: linear up to `warm` steps, then half a cosine down to `floor`."""
+    done = F.least(F.greatest((step - warm) / F.lit(float(max(1, total - warm))), F.lit(0.0)), F.lit(1.0))
+    return F.when(step < warm, (step + 1) / F.lit(float(max(1, warm)))).otherwise(floor + (1 - floor) * 0.5 * (1 + F.cos(done * F.lit(3.141592653589793))))
+
+
+def first_match(text: Column, values: list[tuple[str, float]], default: float) -> Column:
+    """The value of the first entry whose word is in the text, upper and lower case alike; the default where none is."""
+    out = F.lit(default)
+    for word, v in reversed(values):
+        out = F.when(F.lower(text).contains(word), F.lit(v)).otherwise(out)
+    return out

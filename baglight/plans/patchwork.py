@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from baglight.operators import bootstrap, experiments, objects, patches, pixels, recognition as R
 from baglight.operators.rows import latest
 from baglight.plans.bindings import BOXES, IOU, MODELS, PREDS, SCREENING, det_boxes, gt_boxes, index, models, preds, screening
-from baglight.plans.localisation import _IOA
+from baglight.functions.geometry import sigmoid
+from baglight.operators import anomaly, ingest, material
+from baglight.plans.localisation import CELLS, _IOA, cells
 from baglight.plans.recognition import _AP, _BEST, _BOOT, N_BOOT, rounded
 from baglight.sources.tables import table
 
@@ -49,6 +51,14 @@ QUERIES = {
     "hard_negatives": lambda s, d: patches.hard_negatives(det_boxes(s, d), gt_boxes(s, d)).select("uid", "k"),
     "background_boxes": lambda s, d: patches.background_boxes(index(s, d, "img_w", "img_h").filter("img_w > 64 and img_h > 64").select("uid", F.col("img_w").alias("w"), F.col("img_h").alias("h")), gt_boxes(s, d), 3, [32, 48, 64]),
     "result_row": lambda s, d: rounded(result_row(s, d)),
+    "mask_loss": lambda s, d: rounded(material.mask_loss(cells(s, d).select(sigmoid(F.col("v")).alias("p"), "g"))),
+    "weighted_bce": lambda s, d: rounded(preds(s, d).groupBy("cls").agg(F.avg(material.cross_entropy(F.col("y"), F.col("p"), F.when(F.col("y") == 1, 2.0).otherwise(1.0))).alias("loss"))),
+    "cosine_schedule": lambda s, d: rounded(table(s, d, "part", "p_partkey").select("p_partkey", material.cosine_rate(F.col("p_partkey") % 200, 200, 10, 0.05).alias("rate"))),
+    "first_match": lambda s, d: table(s, d, "part", "p_partkey", "p_name").select("p_partkey", material.first_match(F.col("p_name"), [("a", 1.0), ("e", 2.0)], 0.5).alias("rate")),
+    "price_log_histogram": lambda s, d: ingest.log_histogram(table(s, d, "lineitem", "l_extendedprice"), "l_extendedprice", 39),
+    "dilated_masks": lambda s, d: anomaly.dilate(cells(s, d).select("uid", "r", "c", "g"), "g").select("uid", "r", "c", "g"),
+    "clutter_fit": lambda s, d: rounded(anomaly.clutter_fit(cells(s, d))),
+    "bank_sample": lambda s, d: patches.capped(cells(s, d).filter("g = 0"), ["uid"], 16, "uid", "r", "c").select("uid", "r", "c"),
     "run_states": _states,
     "missing_runs": lambda s, d: experiments.missing(table(s, d, "nation", "n_name").select(F.col("n_name").alias("name")), table(s, d, "region", "r_name").select(F.col("r_name").alias("run"))),
     "worst_misses": lambda s, d: rounded(experiments.top_cases(preds(s, d).filter("y = 1"), "cls", "p", 3, "uid", largest=False)),
@@ -56,6 +66,16 @@ QUERIES = {
 }
 
 ORACLES = {
+    "mask_loss": f"""with {CELLS}, q as (select 1 / (1 + exp(-v)) as p, g from cells), c as (select least(greatest(p, 1e-8), 1 - 1e-8) as c, p, g from q)
+select round(avg(-(g * ln(c) + (1 - g) * ln(1 - c))) + 1 - (2 * sum(p * g) + 1) / (sum(p) + sum(g) + 1), 6) as loss from c""",
+    "weighted_bce": f"with {PREDS}, c as (select cls, y, least(greatest(p, 1e-8), 1 - 1e-8) as q from preds) select cls, round(avg(case when y = 1 then -2 * ln(q) else -ln(1 - q) end), 6) as loss from c group by cls",
+    "cosine_schedule": """with s as (select p_partkey, p_partkey % 200 as s from part)
+select p_partkey, round(case when s < 10 then (s + 1) / 10e0 else 0.05e0 + 0.95e0 * 0.5e0 * (1 + cos(pi() * (s - 10) / 190e0)) end, 6) as rate from s""",
+    "first_match": "select p_partkey, case when lower(p_name) like '%a%' then 1e0 when lower(p_name) like '%e%' then 2e0 else 0.5e0 end as rate from part",
+    "price_log_histogram": """with v as (select ln(l_extendedprice) as v from lineitem where l_extendedprice > 0), e as (select min(v) as lo, max(v) as hi from v)
+select least(floor((v - lo) / (hi - lo) * 39), 38)::int as bin, count(*) as n from v, e group by bin""",
+    "dilated_masks": f"with {CELLS} select a.uid, a.r, a.c, max(b.g) as g from cells a join cells b on a.uid = b.uid and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by a.uid, a.r, a.c",
+    "clutter_fit": f"with {CELLS}, o as (select v from cells where g <= 0), m as (select median(v) as m from o) select round(m, 6) as centre, round(1.4826e0 * median(abs(v - m)), 6) as spread from o, m group by m",
     "annotation_styles": """with f as (select payload from annotation_files qualify row_number() over (partition by file_id order by read_at desc) = 1),
 j as (select case when json_valid(payload) then payload::json end as j from f),
 k as (select j, json_type(j, '$.shapes') as s, json_type(j, '$.annotations') as a, json_type(j, '$.images') as i, json_exists(j, '$.imagePath') or json_exists(j, '$.version') as p from j)
