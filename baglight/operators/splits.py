@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baglight.functions.stage import stage
+from baglight.functions.stage import stage, width
 from baglight.operators.graph import components
 from baglight.operators.rows import running_sum
 
@@ -48,7 +48,9 @@ def near_signatures(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
         flips = F.lit([0, *[(1 << j) - ((1 << 64) if j == 63 else 0) for j in range(bits)]]).cast("array<bigint>")
         return F.transform(flips, lambda x: _key(i, value.bitwiseXOR(x), bits))
 
-    probes = left.select("d", "a", F.explode(F.flatten(F.array(*[probe(i, v, n) for i, (v, n) in enumerate(made)]))).alias("key"))
+    # A few signatures become very many keys: they are spread over all tasks first.
+    spread = left.select("d", "a").repartition(width(left.sparkSession), "d", "a")
+    probes = spread.select("d", "a", F.explode(F.flatten(F.array(*[probe(i, v, n) for i, (v, n) in enumerate(made)]))).alias("key"))
     filed = right.select(F.col("d").alias("d2"), F.col("a").alias("a2"), F.explode(F.array(*[_key(i, v, n) for i, (v, n) in enumerate(made)])).alias("key"))
     gap = hamming((F.col("d"), F.col("a")), (F.col("d2"), F.col("a2"))).alias("distance")
     return probes.join(filed, "key").select("d", "a", "d2", "a2", gap).filter(F.col("distance") <= most).distinct()
