@@ -117,16 +117,16 @@ def overlap_fractions(held_out: DataFrame, train: DataFrame, key: str, text: str
 
 
 def same_files(held_out: DataFrame, train: DataFrame) -> DataFrame:
-    """a, b: uids of a train and a held-out scan with the same file."""
-    mine = held_out.select("uid", same_file_name(F.col("img_path")).alias("file")).filter("file is not null")
-    theirs = train.select("uid", same_file_name(F.col("img_path")).alias("file")).filter("file is not null")
+    """a, b: uids of a train and a held-out scan (uid, file) with the same file."""
+    mine, theirs = (x.select("uid", "file").filter("file is not null") for x in (held_out, train))
     whole = overlap_fractions(mine.select("file").distinct().withColumn("k", F.col("file")), theirs, "k", "file").filter("fraction = 1").select(F.col("k").alias("file"))
     return mine.join(whole, "file", "left_semi").select(F.col("uid").alias("b"), "file").join(theirs.select(F.col("uid").alias("a"), "file"), "file").select("a", "b")
 
 
 def cross_split_pairs(scans: DataFrame) -> DataFrame:
     """a (in train), b (in val or test) of scans (uid, part, img_path, sig_d, sig_a), each pair once."""
-    rows = stage(scans.select("uid", "part", "img_path", "sig_d", "sig_a").filter(F.col("part").isin("train", "val", "test")), "scans")
+    rows = scans.filter(F.col("part").isin("train", "val", "test"))
+    rows = stage(rows.select("uid", "part", same_file_name(F.col("img_path")).alias("file"), "sig_d", "sig_a"), "scans")
     train, held = rows.filter("part = 'train'"), rows.filter("part <> 'train'")
     signs, held_signs = signatures(train), signatures(held)
     near = stage(near_signatures(held_signs.select("d", "a").distinct(), signs.select("d", "a").distinct(), MAX_BITS), "near")
