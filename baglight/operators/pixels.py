@@ -109,3 +109,123 @@ def proposals(maps: DataFrame, h: int, w: int, thr: float, top: int, least: int
             yield pd.DataFrame(out, columns=PROPOSAL.names)
 
     return maps.select("uid", "values").mapInPandas(find, PROPOSAL)
+
+
+def edges(light: np.ndarray) -> np.ndarray:
+    """Strength of the 3 x 3 Sobel gradient, the picture mirrored at its edges."""
+    p = np.pad(light, 1, mode="reflect" if min(light.shape) > 1 else "edge")
+    smooth = lambda m, axis: np.take(m, range(0, m.shape[axis] - 2), axis) + 2 * np.take(m, range(1, m.shape[axis] - 1), axis) + np.take(m, range(2, m.shape[axis]), axis)
+    step = lambda m, axis: np.take(m, range(2, m.shape[axis]), axis) - np.take(m, range(0, m.shape[axis] - 2), axis)
+    return np.hypot(step(smooth(p, 0), 1), step(smooth(p, 1), 0))
+
+
+def _blurred(m: np.ndarray, sigma: float) -> np.ndarray:
+    radius = max(1, round(4 * sigma))
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    w /= w.sum()
+    for axis in (0, 1):
+        pad = np.pad(m, [(radius, radius) if i == axis else (0, 0) for i in (0, 1)], mode="symmetric")
+        m = sum(k * np.take(pad, range(i, i + m.shape[axis]), axis=axis) for i, k in enumerate(w))
+    return m
+
+
+# Shares of red, green and blue in brightness.
+LIGHT = np.array([0.299, 0.587, 0.114])
+
+
+def clutter_map(rgb: np.ndarray, size: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Density plus half the relative edge strength of a picture (h, w, 3 bytes) on a size x size grid, smoothed, and where the bag is."""
+    small = np.stack([shrink(rgb[..., i].astype(np.float64) / 255, size, size) for i in range(3)], axis=2)
+    top = small.max(axis=2)
+    e = _blurred(edges(small @ LIGHT), 1.5)
+    return _blurred(1 - top, 1.5) + 0.5 * e / (e.max() + 1e-6), _blurred((top < 0.92).astype(float), 1.0) > 0.3
+
+
+def ring_clutter(rgb: np.ndarray, box: tuple[float, float, float, float], ring: float = 0.5) -> tuple[float | None, float | None]:
+    """(clutter of the ring around a box, density of the box); the ring is as wide as `ring` of the box's sides.
+
+    A ring of fewer than 10 pixels is replaced by the whole region; None where the region or the box is empty.
+    """
+    h, w = rgb.shape[:2]
+    x1, y1, x2, y2 = box
+    dx, dy = ring * (x2 - x1), ring * (y2 - y1)
+    left, upper = int(max(0, x1 - dx)), int(max(0, y1 - dy))
+    right, lower = int(min(w, np.ceil(x2 + dx))), int(min(h, np.ceil(y2 + dy)))
+    if right <= left or lower <= upper:
+        return None, None
+    part = rgb[upper:lower, left:right].astype(np.float64) / 255
+    ys, xs = np.mgrid[upper:lower, left:right]
+    inner = (xs >= int(x1)) & (xs < np.ceil(x2)) & (ys >= int(y1)) & (ys < np.ceil(y2))
+    outer = ~inner if (~inner).sum() >= 10 else np.ones_like(inner)
+    density = 1 - part.max(axis=2)
+    return float(density[outer].mean() + 0.5 * edges(part @ LIGHT)[outer].mean()), float(density[inner].mean()) if inner.any() else None
+
+
+def decode_png(data: bytes) -> np.ndarray | None:
+    """(h, w, channels) bytes of an 8-bit PNG that isn't interlaced; palettes are looked up. None for anything else or broken data."""
+    import struct
+    import zlib
+
+    try:
+        if data[:8] != b"\x89PNG\r\n\x1a\n":
+            return None
+        at, body, palette, head = 8, b"", None, None
+        while at < len(data):
+            n, kind = struct.unpack(">I4s", data[at : at + 8])
+            chunk = data[at + 8 : at + 8 + n]
+            if kind == b"IHDR":
+                head = struct.unpack(">IIBBBBB", chunk)
+            elif kind == b"PLTE":
+                palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
+            elif kind == b"IDAT":
+                body += chunk
+            elif kind == b"IEND":
+                break
+            at += 12 + n
+        w, h, depth, colour, _, _, interlaced = head
+        channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+        if depth != 8 or interlaced:
+            return None
+        lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
+        out = np.zeros((h, w * channels), np.uint8)
+        up = np.zeros(w * channels, np.uint8)
+        for i, line in enumerate(lines):
+            out[i] = up = _unfiltered(int(line[0]), line[1:], up, channels)
+        picture = out.reshape(h, w, channels)
+        return palette[picture[..., 0]] if colour == 3 else picture
+    except (struct.error, zlib.error, KeyError, ValueError, TypeError, IndexError):
+        return None
+
+
+def _unfiltered(kind: int, line: np.ndarray, up: np.ndarray, channels: int) -> np.ndarray:
+    """A line of a PNG from its differences: none, to the left, to the line above, to their mean, or to the nearest of three."""
+    if kind == 0:
+        return line
+    if kind == 2:
+        return line + up
+    if kind == 1:
+        return np.cumsum(line.reshape(-1, channels), axis=0, dtype=np.uint8).ravel()
+    out = [0] * len(line)
+    for i, v in enumerate(line.tolist()):
+        a, b, c = (out[i - channels], int(up[i]), int(up[i - channels])) if i >= channels else (0, int(up[i]), 0)
+        if kind == 3:
+            guess = (a + b) // 2
+        elif kind == 4:
+            p = a + b - c
+            guess = min((a, b, c), key=lambda x: abs(p - x))
+        else:
+            raise ValueError(f"line of kind {kind}")
+        out[i] = (v + guess) & 255
+    return np.array(out, np.uint8)
+
+
+def mask_of(text: str | None) -> np.ndarray | None:
+    """0 and 1 by pixel of a mask given as a PNG in base64: set where any channel is."""
+    import base64
+    import binascii
+
+    try:
+        picture = decode_png(base64.b64decode(text or "", validate=False))
+    except (binascii.Error, ValueError):
+        return None
+    return None if picture is None else (picture.max(axis=2) > 0).astype(np.uint8)

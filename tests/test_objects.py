@@ -84,3 +84,35 @@ def test_new_files_are_worked_off_once(spark, tmp_path):
     spark.createDataFrame([(2, "y"), (-1, "z")], "id int, v string").write.mode("append").parquet(source)
     run()
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == [1, 2]
+
+
+def png(lines, w, colour):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", w, len(lines), 8, colour, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(b"".join(bytes(x) for x in lines))) + chunk(b"IEND", b"")
+
+
+def test_masks_in_base64():
+    import base64
+
+    want = [[1, 2, 3], [1, 2, 3], [5, 5, 5], [7, 9, 0], [4, 4, 4]]
+    lines = [[0, 1, 2, 3], [2, 0, 0, 0], [1, 5, 0, 0], [3, 5, 3, 249], [4, 253, 251, 0]]
+    data = png(lines, 3, 0)
+    assert pixels.decode_png(data)[:3, :, 0].tolist() == want[:3]
+    assert pixels.decode_png(data).shape == (5, 3, 1)
+    assert pixels.mask_of(base64.b64encode(png([[0, 0, 7], [0, 0, 0]], 2, 0)).decode()).tolist() == [[0, 1], [0, 0]]
+    assert pixels.mask_of("no picture") is None and pixels.mask_of(None) is None and pixels.decode_png(data[:-30]) is None
+    assert pixels.decode_png(png([[0, 1, 2, 3, 4, 5, 6]], 2, 2)).tolist() == [[[1, 2, 3], [4, 5, 6]]]
+
+
+def test_clutter_of_pictures():
+    rgb = np.full((60, 80, 3), 255, np.uint8)
+    rgb[20:40, 20:60] = 100
+    density, bag = pixels.clutter_map(rgb, 32)
+    assert bag[16, 16] and not bag[0, 0] and density[16, 16] > density[2, 2]
+    plain, inside = pixels.ring_clutter(rgb, (30, 25, 40, 35))
+    assert inside == pytest.approx(1 - 100 / 255) and plain == pytest.approx(1 - 100 / 255)
+    assert pixels.ring_clutter(rgb, (100, 100, 110, 110)) == (None, None)
