@@ -136,10 +136,11 @@ def _sparse(b: pa.RecordBatch, scale: np.ndarray) -> tuple[int, np.ndarray, np.n
 
 
 def _embed(n: int, doc: np.ndarray, term: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    out = np.empty((n, basis.shape[1]))
-    for c in range(basis.shape[1]):
-        out[:, c] = np.bincount(doc, weights=value * basis[term, c], minlength=n)
-    return out
+    columns = np.ascontiguousarray(basis.T)  # a column lies together, so looking up its terms stays in the cache
+    out = np.empty((len(columns), n))
+    for c, column in enumerate(columns):
+        out[c] = np.bincount(doc, weights=value * column[term], minlength=n)
+    return out.T
 
 
 class Model:
@@ -240,14 +241,14 @@ def _subspace(rows: DataFrame, weight: np.ndarray, narrow: np.ndarray, say: np.n
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, at, basis = shared.value  # noqa: B023
-            out = np.zeros(basis.shape)
+            out = np.zeros(basis.shape[::-1])
             for b in batches:
                 n, doc, term, value = _sparse(b, w)
                 term = at[term]
-                x = _embed(n, doc, term, value, basis) * say[np.asarray(b.column("lang"))][:, None]
-                for c in range(basis.shape[1]):
-                    out[:, c] += np.bincount(term, weights=value * x[doc, c], minlength=len(out))
-            yield from _blocks(out)
+                x = _embed(n, doc, term, value, basis).T * say[np.asarray(b.column("lang"))]
+                for c, column in enumerate(x):
+                    out[c] += np.bincount(term, weights=value * column[doc], minlength=out.shape[1])
+            yield from _blocks(out.T)
 
         y = _sum_blocks(rows.select("lang", "terms", "counts").mapInArrow(multiply, "block int, value binary"), len(q), q.shape[1])
         q = np.linalg.qr(y + 1e-9 * q)[0]
