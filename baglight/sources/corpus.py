@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from baglight.functions.geometry import resolve_box
 from baglight.functions.labels import folder_class, label_class, safe_name, stem_key
-from baglight.operators.ingest import by_stem, folder_rules, safe_uids
+from baglight.functions.stage import stage
+from baglight.operators.ingest import box_layout, by_stem, folder_rules, safe_uids
 from baglight.operators.objects import extract_objects
 from baglight.sources.annotations import caption_rows, captions, decoded, files, image_sizes
 
@@ -46,12 +48,60 @@ def listed(spark: SparkSession, root: str, splits: list[str]) -> DataFrame:
     return rows.select("path", "split", "kind", "folder_name", folder_class(F.col("folder_name"))["id"].alias("folder_id"), stem_key(F.col("path")).alias("stem"))
 
 
+def scan_objects(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """uid, source ('boxes' or 'outlines'), object_no, cls, status, box, raw, outlined of the objects in both annotation files of scans (uid, bb_path, json_path); texts are path, payload."""
+    both = F.array(F.struct(F.lit("boxes").alias("source"), F.col("bb_path").alias("path")), F.struct(F.lit("outlines").alias("source"), F.col("json_path").alias("path")))
+    source = rows.select("uid", F.inline(both)).filter("path is not null").join(texts, "path").select("uid", "source", F.xxhash64("uid", "source").alias("file_id"), "payload")
+    found = source.select("uid", "source", "file_id").join(extract_objects(source), "file_id")
+    outlined = (F.coalesce(F.size("rings"), F.lit(0)) > 0) | F.col("mask").isNotNull()
+    return found.withColumn("m", label_class(F.col("label"))).select("uid", "source", "object_no", "m.cls", "m.status", "box", "raw", outlined.alias("outlined"))
+
+
+def raw_layout(objects: DataFrame) -> DataFrame:
+    """One row: layout of the raw boxes of the box files; a scan with one such box and outlines is a witness (ingest.box_layout)."""
+    raw, box = F.col("raw"), F.col("box")
+    one = objects.groupBy("uid").agg(
+        F.count_if((F.col("source") == "boxes") & box.isNull()).alias("n"),
+        F.bool_or(F.when((F.col("source") == "boxes") & box.isNull(), (raw[2] < raw[0]) | (raw[3] < raw[1]))).alias("wrong"),
+        F.any_value(F.when((F.col("source") == "boxes") & box.isNull(), raw), True).alias("v"),
+        *[f(F.when(F.col("source") == "outlines", box[i])).alias(x) for i, (f, x) in enumerate(((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2")))],
+    )
+    vote = box_layout(one.filter("n = 1 and x1 is not null").select(*[F.col("v")[i].alias(f"v{i + 1}") for i in range(4)], "x1", "y1", "x2", "y2")).select(F.col("layout").alias("voted"))
+    wrong = one.agg(F.coalesce(F.bool_or("wrong"), F.lit(False)).alias("wrong"))
+    return wrong.crossJoin(vote).select(F.when(F.col("wrong"), "xywh").otherwise(F.col("voted")).alias("layout"))
+
+
+def scan_boxes(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """uid, read, outline_cls, outlined, n_objects of scans (uid, img_w, img_h): read are the boxes (object_no, x1, y1, x2, y2, cls) of the box file, of the outlines where it gives none.
+
+    Labels that mean no threat give no box, nor do boxes of less than a pixel; without a picture's size nothing is cut off.
+    """
+    sized = objects.join(rows.select("uid", "img_w", "img_h"), "uid").crossJoin(F.broadcast(raw_layout(objects)))
+    raw, w, h = F.col("raw"), F.col("img_w"), F.col("img_h")
+    v = F.coalesce("box", F.when(F.col("layout") == "xywh", F.array(raw[0], raw[1], raw[0] + raw[2], raw[1] + raw[3])).otherwise(raw))
+    v = [v[i] for i in range(4)]
+    ends = (F.least(v[0], v[2]), F.least(v[1], v[3]), F.greatest(v[0], v[2]), F.greatest(v[1], v[3]))
+    free = F.when((ends[2] - ends[0] >= 1) & (ends[3] - ends[1] >= 1), F.struct(*[e.alias(x) for e, x in zip(ends, ("x1", "y1", "x2", "y2"), strict=True)]))
+    at = F.when((w > 0) & (h > 0), resolve_box(v, "xyxy", w.cast("double"), h.cast("double"))).otherwise(free)
+    sized = sized.withColumn("at", F.when(F.col("status") != "ignore", at))
+    of = lambda s: F.col("source") == s
+    kept = lambda s: F.array_sort(F.collect_list(F.when(of(s) & F.col("at").isNotNull(), F.struct("object_no", "at.x1", "at.y1", "at.x2", "at.y2", "cls"))))  # noqa: E731 - the boxes of one scan
+    per = sized.groupBy("uid").agg(
+        kept("boxes").alias("own"), kept("outlines").alias("other"), F.collect_set(F.when(of("outlines") & (F.col("cls") >= 0), F.col("cls"))).alias("outline_cls"),
+        F.bool_or(of("outlines") & F.col("outlined")).alias("outlined"), F.count_if(of("boxes")).alias("n_own"), F.count_if(of("outlines")).alias("n_other"),
+    )
+    stand_in = (F.size("own") == 0) & (F.col("n_other") > 0)
+    return per.select("uid", F.when(stand_in, F.col("other")).otherwise(F.col("own")).alias("read"), "outline_cls", "outlined", F.when(stand_in, F.col("n_other")).otherwise(F.col("n_own")).alias("n_objects"))
+
+
 def build_index(spark: SparkSession, root: str, splits: list[str] = ["train", "test"]) -> DataFrame:  # noqa: B006
-    """uid, split, folder_id, folder_name, stem, img_path, json_path, bb_path, seg_path, img_w, img_h, labels, n_labels, is_threat, n_objects, caption, issue.
+    """uid, split, folder_id, folder_name, stem, img_path, json_path, bb_path, seg_path, img_w, img_h, labels, n_labels, is_threat, boxes, n_boxes, n_objects, label_source, mask_source, caption, issue, issues.
 
-    The first file of a stem counts; a class folder that isn't one of 1 to 22 is left out; objects come
-    from the box file, else from the outlines; labels follow the folder's rules; a broken annotation
-    gives no objects; of several pictures of one name the later ones get _2, _3, ... to their uid.
+    The first file of a stem counts; a class folder that isn't one of 1 to 22 is left out; boxes come
+    from the box file, from the outlines where it gives none; labels follow the folder's rules, and
+    outlines add theirs in the folder of several classes; a broken annotation gives no objects; of
+    several pictures of one name the later ones get _2, _3, ... to their uid. `issue` is that of the
+    folder's rules, `issues` names all defects of the scan, joined by `;`.
     """
     all_ = listed(spark, root, splits)
     keys = ["split", "folder_id", "stem"]
@@ -62,17 +112,32 @@ def build_index(spark: SparkSession, root: str, splits: list[str] = ["train", "t
     rows = safe_uids(rows.withColumn("name", name), "name", "img_path").drop("name")
 
     content = files(spark, root)
+    sizes = image_sizes(content.filter(F.lower("path").rlike(r"(\.jpg|\.jpeg|\.png|\.bmp)$"))).toDF("img_path", "img_w", "img_h")
+    rows = stage(rows.join(sizes, "img_path", "left"), "scans")
     texts = content.filter(F.lower("path").endswith(".json")).select("path", decoded(F.col("content")).alias("payload"))
-    source = rows.select("uid", F.coalesce("bb_path", "json_path").alias("path")).filter("path is not null").join(texts, "path").select("uid", F.xxhash64("uid").alias("file_id"), "payload")
-    objects = extract_objects(source).select("file_id", label_class(F.col("label"))["cls"].alias("cls"))
-    found = source.select("uid", "file_id").join(objects, "file_id").groupBy("uid").agg(F.collect_set("cls").alias("found"), F.count("*").alias("n_objects"))  # at most a set of classes a scan
-    rows = rows.join(found, "uid", "left")
+    objects = stage(scan_objects(rows, texts), "objects")
+    rows = rows.join(scan_boxes(rows, objects), "uid", "left").withColumn("n_objects", F.coalesce("n_objects", F.lit(0)))
+    multi, benign = F.col("folder_id") == 21, F.col("folder_id") == 22
+    classes = F.transform("read", lambda b: b["cls"])
+    rows = rows.withColumn("found", F.when(multi, F.array_union(classes, "outline_cls")).otherwise(classes))
     rows = rows.join(folder_rules(rows.select("uid", "folder_id", "found")), "uid")
 
-    sizes = image_sizes(content.filter(F.lower("path").rlike(r"(\.jpg|\.jpeg|\.png|\.bmp)$"))).toDF("img_path", "img_w", "img_h")
+    bare = lambda b, cls: F.struct(b["x1"].alias("x1"), b["y1"].alias("y1"), b["x2"].alias("x2"), b["y2"].alias("y2"), cls.cast("int").alias("cls"))
+    none = F.filter(F.transform("read", lambda b: bare(b, b["cls"])), lambda b: F.lit(False))
+    mapped = F.transform(F.filter("read", lambda b: b["cls"] >= 0), lambda b: bare(b, b["cls"]))
+    own = F.transform("read", lambda b: bare(b, F.col("folder_id") - 1))
+    rows = rows.withColumn("read", F.coalesce("read", F.array())).withColumn("boxes", F.when(benign, none).when(multi, mapped).otherwise(own))
+    n_boxes, n, masked = F.size("boxes"), F.size("labels"), F.col("seg_path").isNotNull()
+    rows = rows.withColumn("label_source", F.when(benign, "benign").when(multi, "annotation").otherwise("folder"))
+    rows = rows.withColumn("mask_source", F.when(masked, "png").when(benign, "none").when(F.col("outlined"), "poly").when(n_boxes > 0, "box").otherwise("none"))
+    defects = {
+        "img_unreadable": F.col("img_w").isNull(), "benign_with_objects": benign & (F.size("read") > 0), "unmapped_label": multi & F.exists("read", lambda b: b["cls"] < 0), "multi_no_labels": multi & (n == 0),
+        "no_boxes": ~benign & (n_boxes == 0), "no_json_bb": ~benign & F.col("bb_path").isNull(), "no_seg_png": ~benign & ~masked,
+    }
+    rows = rows.withColumn("issues", F.concat_ws(";", *[F.when(c, d) for d, c in defects.items()]))
+
     sheets = all_.filter(F.col("kind") == "captions").select("path", "split", "folder_id")
     text = captions(caption_rows(content.filter(F.lower("path").rlike(r"(\.xlsx|\.csv)$")))).join(sheets, "path")
     text = text.select("split", "folder_id", stem_key(F.col("name")).alias("stem"), "caption").groupBy(*keys).agg(F.max("caption").alias("caption"))
-    rows = rows.join(sizes, "img_path", "left").join(text, keys, "left")
-    n = F.size("labels")
-    return rows.select("uid", "split", "folder_id", "folder_name", "stem", "img_path", "json_path", "bb_path", "seg_path", "img_w", "img_h", "labels", n.alias("n_labels"), (n > 0).alias("is_threat"), F.coalesce("n_objects", F.lit(0)).alias("n_objects"), "caption", "issue")
+    rows = rows.join(text, keys, "left")
+    return rows.select("uid", "split", "folder_id", "folder_name", "stem", "img_path", "json_path", "bb_path", "seg_path", "img_w", "img_h", "labels", n.alias("n_labels"), (n > 0).alias("is_threat"), "boxes", n_boxes.alias("n_boxes"), "n_objects", "label_source", "mask_source", "caption", "issue", "issues")

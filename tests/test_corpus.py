@@ -52,3 +52,31 @@ def test_subset_and_grouped_split(spark):
     assert len(side) == len(rows) and all(len(s) == 1 for s in of.values()) and of["huge"] == {"train"}
     n = sum(s == "val" for u, s in side.items() if u[0] == "u")
     assert abs(n / 3000 - 0.2) < 0.02
+
+
+def test_both_annotation_files_of_a_scan(spark, tmp_path):
+    shape = lambda *names: {"shapes": [{"label": n, "shape_type": "polygon", "points": [[1, 1], [9, 2], [5, 9]]} for n in names]}
+    multi = "TrainSet/{}/Class 21_Multi/{}"
+    for stem, boxes, outlines in (
+        ("both", {"objects": [{"label": "gun", "bbox": [20, 10, 5, 4]}]}, shape("knife", "thing")),
+        ("broken", "{broken", shape("hammer")),
+        ("empty", {"shapes": []}, shape("pliers", "odd")),
+        ("tiny", {"objects": [{"label": "gun", "xmin": 1, "ymin": 1, "xmax": 1.5, "ymax": 9}]}, shape("wrench")),
+    ):
+        put(tmp_path, multi.format("Images", f"{stem}.png"), PNG)
+        put(tmp_path, multi.format("Json_BB", f"{stem}.json"), boxes)
+        put(tmp_path, multi.format("Json", f"{stem}.json"), outlines)
+    put(tmp_path, "TrainSet/Images/Class 22_Non Threat/n.png", PNG)
+    put(tmp_path, "TrainSet/Json/Class 22_Non Threat/n.json", shape("odd"))
+    put(tmp_path, "TrainSet/Images/Class 2_Gun/bare.png", b"no picture")
+    put(tmp_path, "TrainSet/Json_BB/Class 2_Gun/bare.json", {"objects": [{"label": "knife", "xmin": 90, "ymin": 10, "xmax": 70, "ymax": 30}]})
+    got = {r.uid.split("_", 2)[2]: r for r in build_index(spark, str(tmp_path)).collect()}
+    assert {k: (r.labels, [tuple(b) for b in r.boxes], r.n_objects, r.label_source, r.mask_source, r.issues) for k, r in got.items()} == {
+        "both": ([1, 3], [(20, 10, 25, 14, 1)], 1, "annotation", "poly", "no_seg_png"),
+        "broken": ([14], [(1, 1, 9, 9, 14)], 1, "annotation", "poly", "no_seg_png"),
+        "empty": ([15], [(1, 1, 9, 9, 15)], 2, "annotation", "poly", "unmapped_label;no_seg_png"),
+        "tiny": ([16], [(1, 1, 9, 9, 16)], 1, "annotation", "poly", "no_seg_png"),
+        "n": ([], [], 1, "benign", "none", "benign_with_objects"),
+        "bare": ([1], [(70, 10, 90, 30, 1)], 1, "folder", "box", "img_unreadable;no_seg_png"),
+    }
+    assert all(r.n_boxes == len(r.boxes) for r in got.values())
