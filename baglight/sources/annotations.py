@@ -107,18 +107,22 @@ def caption_rows(rows: DataFrame) -> DataFrame:
     return rows.select("path", "content").mapInPandas(parse, "path string, line long, cells array<string>")
 
 
-def captions(sheet: DataFrame) -> DataFrame:
-    """path, name, caption of caption_rows: of each sheet, the column of the longest texts is the caption, the shortest of the others the name.
+def caption_lines(sheet: DataFrame) -> DataFrame:
+    """path, line, name, caption of caption_rows: of each sheet, the column of the longest texts is the caption, the shortest of the others the name.
 
-    A heading line is left out; of several lines of a name the last counts; a sheet of one column gives nothing.
+    A heading line is left out; a sheet of one column gives nothing.
     """
     cells = sheet.select("path", "line", F.posexplode("cells").alias("column", "text")).filter("text is not null and trim(text) <> ''")
     size = cells.groupBy("path", "column").agg(F.avg(F.length("text")).alias("size"))
     pick = size.groupBy("path").agg(F.max_by("column", F.struct("size", -F.col("column"))).alias("long"), F.min_by("column", F.struct("size", "column")).alias("short"), F.count("*").alias("n")).filter("n > 1")
     wide = cells.join(pick, "path").groupBy("path", "line").agg(F.max(F.when(F.col("column") == F.col("short"), F.col("text"))).alias("name"), F.max(F.when(F.col("column") == F.col("long"), F.col("text"))).alias("caption"))
-    body = wide.filter("name is not null and caption is not null").filter(~(F.col("name").rlike(r"(?i)^\s*(image|file|name|id)\b.*") & F.col("caption").rlike(r"(?i)^\s*(caption|text|description)s?\s*$")))
+    return wide.filter("name is not null and caption is not null").filter(~(F.col("name").rlike(r"(?i)^\s*(image|file|name|id)\b.*") & F.col("caption").rlike(r"(?i)^\s*(caption|text|description)s?\s*$")))
+
+
+def captions(sheet: DataFrame) -> DataFrame:
+    """path, name, caption of caption_lines; of several lines of a name the last counts."""
     last = F.row_number().over(Window.partitionBy("path", "name").orderBy(F.desc("line")))
-    return body.withColumn("n", last).filter("n = 1").select("path", "name", "caption")
+    return caption_lines(sheet).withColumn("n", last).filter("n = 1").select("path", "name", "caption")
 
 
 def yolo_lines(boxes: DataFrame) -> DataFrame:

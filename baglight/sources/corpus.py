@@ -1,12 +1,15 @@
 """A corpus of pictures on disk as the scan index.
 
 A split folder holds `Images` and, under their own names, outlines, boxes, masks and caption sheets, each
-with one folder a class. Files are listed by Spark and joined by split, class and stem; nothing is walked
-on the driver. File contents are read only where a column needs them.
+with one folder a class and any folders below it. Files are listed by Spark and joined by split, class and
+stem; nothing is walked on the driver. File contents are read only where a column needs them.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,37 +18,62 @@ from baglight.functions.labels import folder_class, label_class, safe_name, stem
 from baglight.functions.stage import stage
 from baglight.operators.ingest import box_layout, by_stem, folder_rules, safe_uids
 from baglight.operators.objects import extract_objects
-from baglight.sources.annotations import caption_rows, captions, decoded, files, image_sizes
+from baglight.sources.annotations import caption_lines, caption_rows, decoded, files, image_sizes
 
 #: Names of the sub-folders, whatever their capitals.
-KINDS = {"images": ("images", "image", "imgs"), "outlines": ("json", "jsons", "polygons"), "boxes": ("json_bb", "jsonbb", "bbox"), "masks": ("segmentation", "masks", "seg"), "captions": ("captions", "caption")}
-PICTURES = (".jpg", ".jpeg", ".png", ".bmp")
+KINDS = {"images": ("images", "image", "imgs"), "outlines": ("json", "jsons", "polygons", "json_mask", "json_masks"), "boxes": ("json_bb", "jsonbb", "json_bbox", "bb", "bbox"), "masks": ("segmentation", "segmentations", "masks", "mask", "seg", "gt"), "captions": ("captions", "caption")}
+PICTURES = r"\.(jpg|jpeg|png|bmp|tif|tiff)$"
 
 
 def _parts(path: Column) -> Column:
     return F.split(F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "^file:/+", "/"), "/")
 
 
+def _depth(spark: SparkSession, root: str) -> int:
+    """Parts of the root's own path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return len(re.sub("^file:/+", "/", full).rstrip("/").split("/"))
+
+
 def listed(spark: SparkSession, root: str, splits: list[str]) -> DataFrame:
-    """path, split, kind, folder_name, folder_id, stem of every file below root that stands in a split's sub-folder.
+    """path, split, kind, folder_name, folder_id, stem, key of every file, however deep, in a sub-folder of a split's folder.
 
-    The split is the first folder whose name holds a split's name (the first of the list that fits);
-    files elsewhere are passed over.
+    The split's folder is the root or a folder below it whose name holds a split's name (the first of the
+    list that fits); the kind's folder is the first one right below such a folder, and the class folder
+    comes right after it. Sheets of captions have the class of their own name, else of the folder.
+    Files elsewhere are passed over. The key is the stem without a mask suffix.
     """
-    parts = _parts(F.col("path"))
-    rows = files(spark, root).select("path", parts.alias("parts"))
-    kind = F.lit(None).cast("string")
+    rows = files(spark, root).select("path", _parts(F.col("path")).alias("parts"))
+    lower, last = F.transform("parts", F.lower), F.size("parts")
+    known = [x for spellings in KINDS.values() for x in spellings]
+    held = lambda name: reduce(lambda a, b: a | b, [name.contains(s.lower()) for s in splits])
+    spots = F.filter(F.sequence(F.lit(_depth(spark, root) + 1), F.greatest(last - 1, F.lit(_depth(spark, root) + 1))), lambda i: (i < last) & F.get(lower, i - 1).isin(*known) & held(F.get(lower, i - 2)))
+    rows = rows.withColumn("at", F.get(spots, F.lit(0))).filter("at is not null")
+    folder, holder = F.lower(F.get("parts", F.col("at") - 1)), F.lower(F.get("parts", F.col("at") - 2))
+    kind, split = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name, spellings in KINDS.items():
-        kind = F.when(F.lower(F.element_at("parts", -3)).isin(*spellings), name).otherwise(kind)
-    flat = F.when(F.lower(F.element_at("parts", -2)).isin(*KINDS["captions"]), "captions")
-    rows = rows.filter(F.size("parts") >= 4).withColumn("kind", F.coalesce(flat, kind)).filter("kind is not null")
-    holder = F.lower(F.when(flat.isNotNull(), F.element_at("parts", -3)).otherwise(F.element_at("parts", -4)))
-    split = F.lit(None).cast("string")
+        kind = F.when(folder.isin(*spellings), name).otherwise(kind)
     for s in reversed(splits):
         split = F.when(holder.contains(s.lower()), s).otherwise(split)
-    name = F.when(flat.isNotNull(), F.regexp_replace(F.element_at("parts", -1), r"\.[^.]*$", "")).otherwise(F.element_at("parts", -2))
-    rows = rows.withColumn("split", split).filter("split is not null").withColumn("folder_name", name)
-    return rows.select("path", "split", "kind", "folder_name", folder_class(F.col("folder_name"))["id"].alias("folder_id"), stem_key(F.col("path")).alias("stem"))
+    rows = rows.withColumn("kind", kind).withColumn("split", split)
+    above = F.when(F.col("at") < last - 1, F.get("parts", F.col("at")))
+    sheet = F.when(F.col("kind") == "captions", F.regexp_replace(F.get("parts", last - 1), r"\.[^.]*$", ""))
+    rows = rows.withColumn("folder_name", F.when(folder_class(sheet)["id"].isNotNull() | above.isNull(), sheet).otherwise(above)).filter("folder_name is not null")
+    return rows.select("path", "split", "kind", "folder_name", folder_class(F.col("folder_name"))["id"].alias("folder_id"), F.regexp_replace(F.lower(F.get("parts", last - 1)), r"\.[^.]*$", "").alias("stem"), stem_key(F.col("path")).alias("key"))
+
+
+def scan_captions(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds caption to scans (split, folder_id, stem): that of the class and stem, of several the last; else that of the stem where the split's sheets have just one.
+
+    lines are path, line, name, caption of the sheets with split and folder_id.
+    """
+    base = F.trim(F.element_at(F.split(F.translate("name", "\\", "/"), "/"), -1))
+    lines = lines.withColumn("stem", F.regexp_replace(F.lower(base), PICTURES, ""))
+    of_class = lines.filter("folder_id is not null").groupBy("split", "folder_id", "stem").agg(F.max_by("caption", F.struct("path", "line")).alias("by_class"))
+    of_stem = lines.groupBy("split", "stem").agg(F.max("caption").alias("by_stem"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    rows = rows.join(of_class, ["split", "folder_id", "stem"], "left").join(of_stem, ["split", "stem"], "left")
+    return rows.withColumn("caption", F.coalesce("by_class", "by_stem")).drop("by_class", "by_stem")
 
 
 def scan_objects(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -103,16 +131,17 @@ def build_index(spark: SparkSession, root: str, splits: list[str] = ["train", "t
     several pictures of one name the later ones get _2, _3, ... to their uid. `issue` is that of the
     folder's rules, `issues` names all defects of the scan, joined by `;`.
     """
-    all_ = listed(spark, root, splits)
+    all_ = stage(listed(spark, root, splits), "listed")
     keys = ["split", "folder_id", "stem"]
-    rows = all_.filter((F.col("kind") == "images") & F.col("folder_id").between(1, 22) & F.lower("path").rlike(r"(\.jpg|\.jpeg|\.png|\.bmp)$")).withColumnRenamed("path", "img_path").drop("kind")
-    for kind, column in (("outlines", "json_path"), ("boxes", "bb_path"), ("masks", "seg_path")):
-        rows = by_stem(rows, all_.filter(F.col("kind") == kind).withColumnRenamed("path", column), keys, column)
+    rows = all_.filter((F.col("kind") == "images") & F.col("folder_id").between(1, 22) & F.lower("path").rlike(PICTURES)).withColumnRenamed("path", "img_path").drop("kind", "key")
+    for kind, column, ending in (("outlines", "json_path", r"\.json$"), ("boxes", "bb_path", r"\.json$"), ("masks", "seg_path", PICTURES)):
+        fit = all_.filter((F.col("kind") == kind) & F.lower("path").rlike(ending)).withColumnRenamed("path", column)
+        rows = by_stem(rows, fit.withColumn("stem", F.explode(F.array_distinct(F.array("stem", "key")))), keys, column)
     name = F.concat_ws("_", "split", F.lpad(F.col("folder_id").cast("string"), 2, "0"), safe_name(F.col("stem")))
     rows = safe_uids(rows.withColumn("name", name), "name", "img_path").drop("name")
 
     content = files(spark, root)
-    sizes = image_sizes(content.filter(F.lower("path").rlike(r"(\.jpg|\.jpeg|\.png|\.bmp)$"))).toDF("img_path", "img_w", "img_h")
+    sizes = image_sizes(content.filter(F.lower("path").rlike(PICTURES))).toDF("img_path", "img_w", "img_h")
     rows = stage(rows.join(sizes, "img_path", "left"), "scans")
     texts = content.filter(F.lower("path").endswith(".json")).select("path", decoded(F.col("content")).alias("payload"))
     objects = stage(scan_objects(rows, texts), "objects")
@@ -137,7 +166,6 @@ def build_index(spark: SparkSession, root: str, splits: list[str] = ["train", "t
     rows = rows.withColumn("issues", F.concat_ws(";", *[F.when(c, d) for d, c in defects.items()]))
 
     sheets = all_.filter(F.col("kind") == "captions").select("path", "split", "folder_id")
-    text = captions(caption_rows(content.filter(F.lower("path").rlike(r"(\.xlsx|\.csv)$")))).join(sheets, "path")
-    text = text.select("split", "folder_id", stem_key(F.col("name")).alias("stem"), "caption").groupBy(*keys).agg(F.max("caption").alias("caption"))
-    rows = rows.join(text, keys, "left")
+    lines = caption_lines(caption_rows(content.filter(F.lower("path").rlike(r"(\.xlsx|\.csv)$")))).join(sheets, "path")
+    rows = scan_captions(rows, lines)
     return rows.select("uid", "split", "folder_id", "folder_name", "stem", "img_path", "json_path", "bb_path", "seg_path", "img_w", "img_h", "labels", n.alias("n_labels"), (n > 0).alias("is_threat"), "boxes", n_boxes.alias("n_boxes"), "n_objects", "label_source", "mask_source", "caption", "issue", "issues")

@@ -80,3 +80,28 @@ def test_both_annotation_files_of_a_scan(spark, tmp_path):
         "bare": ([1], [(70, 10, 90, 30, 1)], 1, "folder", "box", "img_unreadable;no_seg_png"),
     }
     assert all(r.n_boxes == len(r.boxes) for r in got.values())
+
+
+def test_files_below_class_folders_and_sheets_of_any_name(spark, tmp_path):
+    root = tmp_path / "train_data" / "images"
+    shape = {"shapes": [{"label": "gun", "points": [[1, 1], [9, 9]]}]}
+    put(root, "My_TrainSet/Images/Class 2_Gun/day 1/images/a.png", PNG)
+    put(root, "My_TrainSet/Images/Class 2_Gun/b.tiff", b"II*\0")
+    put(root, "My_TrainSet/Images/Class 2_Gun/c_gt.tif", b"II*\0")
+    put(root, "My_TrainSet/Images/Class 3_3D Gun/c_gt.png", PNG)
+    put(root, "My_TrainSet/Images/loose.png", PNG)
+    put(root, "My_TrainSet/Json_BB/Class 2_Gun/more/still more/a.json", shape)
+    put(root, "My_TrainSet/Json_BB/Class 2_Gun/more/a.jpg", b"no annotation")
+    put(root, "My_TrainSet/Segmentation/Class 2_Gun/x/a_mask.tif", b"II*\0")
+    put(root, "My_TrainSet/Captions/part/all.csv", "a.png,an old text of a bag with a gun\nb.tiff,a text that is given only once\nc_gt.png,a text of one of two pictures\nc_gt.tif,a text of the other of two pictures\n")
+    put(root, "My_TrainSet/Captions/Class 2_Gun.csv", "x/a.png,the text of the class of this picture\n")
+    put(root, "My_TestSet/Captions/all.csv", "b.tiff,a text of the other split of the data\n")
+    got = {r.uid: r for r in build_index(spark, str(root)).collect()}
+    assert {k: r.caption for k, r in got.items()} == {
+        "train_02_a": "the text of the class of this picture",
+        "train_02_b": "a text that is given only once",
+        "train_02_c_gt": None,
+        "train_03_c_gt": None,
+    }
+    a = got["train_02_a"]
+    assert a.n_boxes == 1 and a.bb_path.endswith("a.json") and a.seg_path.endswith("a_mask.tif") and a.folder_name == "Class 2_Gun"
