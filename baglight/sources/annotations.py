@@ -27,14 +27,20 @@ def decoded(content) -> object:
 
 
 def image_sizes(rows: DataFrame) -> DataFrame:
-    """path, width, height of pictures (path, content) from the first bytes of PNG, GIF, BMP and JPEG; null for others."""
+    """path, width, height of pictures (path, content) from the headers of PNG, GIF, BMP, JPEG and TIFF; null for others.
 
-    def sizes(frames):
-        for f in frames:
-            s = [image_size(bytes(c)) if c is not None else (None, None) for c in f["content"]]
-            yield pd.DataFrame({"path": f["path"], "width": pd.array([w for w, _ in s], "Int64"), "height": pd.array([h for _, h in s], "Int64")})
+    The first bytes are looked at; Python gets the whole of a picture only where they don't hold its size.
+    """
+    head = 1 << 16
+
+    @F.pandas_udf("width long, height long")
+    def sizes(content: pd.Series) -> pd.DataFrame:
+        s = [image_size(bytes(c)) if c is not None else (None, None) for c in content]
+        return pd.DataFrame({"width": pd.array([w for w, _ in s], "Int64"), "height": pd.array([h for _, h in s], "Int64")})
 
-    return rows.select("path", F.substring("content", 1, 1 << 16).alias("content")).mapInPandas(sizes, "path string, width long, height long")
+    rows = rows.select("path", "content").withColumn("s", sizes(F.substring("content", 1, head)))
+    rest = F.when(F.col("s.width").isNull() & (F.length("content") > head), F.col("content"))
+    return rows.withColumn("r", sizes(rest)).select("path", F.coalesce("s.width", "r.width").alias("width"), F.coalesce("s.height", "r.height").alias("height"))
 
 
 def image_size(head: bytes) -> tuple[int | None, int | None]:
@@ -55,7 +61,19 @@ def image_size(head: bytes) -> tuple[int | None, int | None]:
             if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", head[at + 5 : at + 9])
                 return w, h
+            if kind == 0xDA:  # pixels begin
+                break
             at += 2 if kind == 0xFF or 0xD0 <= kind <= 0xD9 else 2 + int.from_bytes(head[at + 2 : at + 4], "big")
+    if head[:4] in (b"II*\0", b"MM\0*") and len(head) >= 8:
+        order = "<" if head[:1] == b"I" else ">"
+        first = struct.unpack(f"{order}I", head[4:8])[0]
+        count = struct.unpack(f"{order}H", head[first : first + 2])[0] if first + 2 <= len(head) else 0
+        found: dict[int, int] = {}
+        for at in range(first + 2, min(first + 2 + 12 * count, len(head) - 11), 12):
+            tag, kind = struct.unpack(f"{order}HH", head[at : at + 4])
+            if tag in (256, 257) and kind in (3, 4):
+                found[tag] = struct.unpack(f"{order}{'H' if kind == 3 else 'I'}", head[at + 8 : at + (10 if kind == 3 else 12)])[0]
+        return (found[256], found[257]) if len(found) == 2 else (None, None)
     return None, None
 
 

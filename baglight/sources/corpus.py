@@ -17,7 +17,7 @@ from baglight.functions.geometry import resolve_box
 from baglight.functions.labels import folder_class, label_class, safe_name, stem_key
 from baglight.functions.stage import stage
 from baglight.operators.ingest import box_layout, by_stem, folder_rules, safe_uids
-from baglight.operators.objects import extract_objects
+from baglight.operators.objects import extract_objects, picture_sizes
 from baglight.sources.annotations import caption_lines, caption_rows, decoded, files, image_sizes
 
 #: Names of the sub-folders, whatever their capitals.
@@ -127,7 +127,8 @@ def build_index(spark: SparkSession, root: str, splits: list[str] = ["train", "t
 
     The first file of a stem counts; a class folder that isn't one of 1 to 22 is left out; boxes come
     from the box file, from the outlines where it gives none; labels follow the folder's rules, and
-    outlines add theirs in the folder of several classes; a broken annotation gives no objects; of
+    outlines add theirs in the folder of several classes; a picture without a readable size takes that
+    of its box file; a broken annotation gives no objects; of
     several pictures of one name the later ones get _2, _3, ... to their uid. `issue` is that of the
     folder's rules, `issues` names all defects of the scan, joined by `;`.
     """
@@ -142,8 +143,11 @@ def build_index(spark: SparkSession, root: str, splits: list[str] = ["train", "t
 
     content = files(spark, root)
     sizes = image_sizes(content.filter(F.lower("path").rlike(PICTURES))).toDF("img_path", "img_w", "img_h")
-    rows = stage(rows.join(sizes, "img_path", "left"), "scans")
+    rows = rows.join(sizes, "img_path", "left")
     texts = content.filter(F.lower("path").endswith(".json")).select("path", decoded(F.col("content")).alias("payload"))
+    unsized = rows.filter("img_w is null and bb_path is not null").select("uid", F.col("bb_path").alias("path")).join(texts, "path")
+    given = picture_sizes(unsized).select("uid", F.col("width").cast("long").alias("w"), F.col("height").cast("long").alias("h"))
+    rows = stage(rows.join(given, "uid", "left").withColumn("img_w", F.coalesce("img_w", "w")).withColumn("img_h", F.coalesce("img_h", "h")).drop("w", "h"), "scans")
     objects = stage(scan_objects(rows, texts), "objects")
     rows = rows.join(scan_boxes(rows, objects), "uid", "left").withColumn("n_objects", F.coalesce("n_objects", F.lit(0)))
     multi, benign = F.col("folder_id") == 21, F.col("folder_id") == 22

@@ -105,3 +105,10 @@ def test_files_below_class_folders_and_sheets_of_any_name(spark, tmp_path):
     }
     a = got["train_02_a"]
     assert a.n_boxes == 1 and a.bb_path.endswith("a.json") and a.seg_path.endswith("a_mask.tif") and a.folder_name == "Class 2_Gun"
+
+
+def test_size_from_the_box_file(spark, tmp_path):
+    put(tmp_path, "TrainSet/Images/Class 2_Gun/a.png", b"no picture")
+    put(tmp_path, "TrainSet/Json_BB/Class 2_Gun/a.json", {"imageWidth": 40, "imageHeight": 30, "objects": [{"label": "gun", "bbox": [0.5, 0.5, 1, 1]}]})
+    (r,) = build_index(spark, str(tmp_path)).collect()
+    assert (r.img_w, r.img_h, [tuple(b) for b in r.boxes]) == (40, 30, [(20, 15, 40, 30, 1)])

@@ -34,3 +34,13 @@ def test_caption_sheets(spark, tmp_path):
     (tmp_path / "broken.xlsx").write_bytes(b"PK nothing")
     got = {(r.name, r.caption) for r in captions(caption_rows(files(spark, str(tmp_path)))).collect()}
     assert got == {("a.jpg", "a new text that is longer"), ("b.jpg", "a caption from a file"), ("c.jpg", "another caption")}
+
+
+def test_sizes_behind_the_first_bytes(spark, tmp_path):
+    jpg = b"\xff\xd8" + (b"\xff\xe2" + struct.pack(">H", 60002) + b"\0" * 60000) * 2 + b"\xff\xc2\x00\x0b\x08" + struct.pack(">HH", 9, 12) + b"\0" * 9
+    entry = lambda tag, kind, value: struct.pack("<HHI", tag, kind, 1) + struct.pack("<I", value)
+    tif = b"II*\0" + struct.pack("<I", 70008) + b"\0" * 70000 + struct.pack("<H", 2) + entry(256, 3, 21) + entry(257, 4, 33)
+    for name, data in (("a.jpg", jpg), ("b.tif", tif), ("c.jpg", b"\xff\xd8\xff\xda" + b"\0" * 70000)):
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.width, r.height) for r in image_sizes(files(spark, str(tmp_path))).collect()}
+    assert got == {"a.jpg": (12, 9), "b.tif": (21, 33), "c.jpg": (None, None)}
