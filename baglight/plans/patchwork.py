@@ -11,7 +11,7 @@ from baglight.plans.bindings import BOXES, IOU, MODELS, PREDS, SCREENING, det_bo
 from baglight.functions.geometry import sigmoid
 from baglight.operators import anomaly, ingest, material
 from baglight.plans.localisation import CELLS, _IOA, cells
-from baglight.plans.recognition import _AP, _BEST, _BOOT, N_BOOT, rounded
+from baglight.plans.recognition import _AP, _BEST, _BOOT, N_BOOT, WHOLE, rounded
 from baglight.sources.tables import table
 
 
@@ -23,12 +23,12 @@ def _maps(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("uid"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("values"))
 
 
-def result_row(s: SparkSession, d: str) -> DataFrame:
+def result_row(s: SparkSession, d: str, n: int = N_BOOT) -> DataFrame:
     """One row a model: mAP with its interval, macro AUROC, and F1 at the thresholds tuned on the same rows."""
     m = models(s, d)
     point = R.average_precision(m, ["model", "cls"]).groupBy("model").agg(F.avg("ap").alias("map"))
     area = R.auroc(m, ["model", "cls"]).groupBy("model").agg(F.avg("auroc").alias("auroc"))
-    interval = bootstrap.map_interval(bootstrap.bootstrap_map(m, N_BOOT))
+    interval = bootstrap.map_interval(bootstrap.bootstrap_map(m, n))
     p = preds(s, d)
     f1 = R.f1_report(p, R.thresholds(p)).select(F.lit("a").alias("model"), "macro_f1", "micro_f1")
     return point.join(area, "model").join(interval, "model").join(f1, "model", "left")
@@ -51,6 +51,7 @@ QUERIES = {
     "hard_negatives": lambda s, d: patches.hard_negatives(det_boxes(s, d), gt_boxes(s, d)).select("uid", "k"),
     "background_boxes": lambda s, d: patches.background_boxes(index(s, d, "img_w", "img_h").filter("img_w > 64 and img_h > 64").select("uid", F.col("img_w").alias("w"), F.col("img_h").alias("h")), gt_boxes(s, d), 3, [32, 48, 64]),
     "result_row": lambda s, d: rounded(result_row(s, d)),
+    "result_row_1000": lambda s, d: rounded(result_row(s, d, WHOLE)),
     "mask_loss": lambda s, d: rounded(material.mask_loss(cells(s, d).select(sigmoid(F.col("v")).alias("p"), "g"))),
     "weighted_bce": lambda s, d: rounded(preds(s, d).groupBy("cls").agg(F.avg(material.cross_entropy(F.col("y"), F.col("p"), F.when(F.col("y") == 1, 2.0).otherwise(1.0))).alias("loss"))),
     "cosine_schedule": lambda s, d: rounded(table(s, d, "part", "p_partkey").select("p_partkey", material.cosine_rate(F.col("p_partkey") % 200, 200, 10, 0.05).alias("rate"))),

@@ -9,7 +9,8 @@ from baglight.operators import bootstrap, recognition as R
 from baglight.plans.bindings import BOXES, MODELS, PREDS, SCREENING, gt_boxes, models, preds, screening
 from baglight.sources.tables import table
 
-N_BOOT = 50
+#: Replicates of the queries that are compared with their SQL, and of the whole job.
+N_BOOT, WHOLE = 50, 1000
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -55,6 +56,9 @@ QUERIES = {
     "bootstrap_map_ci": lambda s, d: rounded(bootstrap.map_interval(bootstrap.bootstrap_map(models(s, d), N_BOOT))),
     "paired_delta": lambda s, d: rounded(bootstrap.paired_delta(bootstrap.bootstrap_map(models(s, d), N_BOOT), "a", "b")),
     "auroc_ci": lambda s, d: rounded(bootstrap.auroc_interval(screening(s, d), N_BOOT)),
+    "bootstrap_map_ci_1000": lambda s, d: rounded(bootstrap.map_interval(bootstrap.bootstrap_map(models(s, d), WHOLE))),
+    "paired_delta_1000": lambda s, d: rounded(bootstrap.paired_delta(bootstrap.bootstrap_map(models(s, d), WHOLE), "a", "b")),
+    "auroc_ci_1000": lambda s, d: rounded(bootstrap.auroc_interval(screening(s, d), WHOLE)),
 }
 
 _AP = """

@@ -110,3 +110,15 @@ def test_registry(spark):
     deps = spark.createDataFrame([("c", "b"), ("b", "a"), ("d", "b"), ("d", "c")], "name string, dep string")
     specs = spark.createDataFrame([("a", 1), ("b", 10), ("c", 100), ("d", 1000)], "name string, minutes int")
     assert {r.name: r.minutes for r in experiments.estimates(specs, deps).collect()} == {"a": 1, "b": 11, "c": 111, "d": 1111}
+
+
+@pytest.mark.parametrize("name", ["bootstrap_map_ci_1000", "paired_delta_1000", "auroc_ci_1000", "result_row_1000"])
+def test_whole_bootstrap_is_registered(spark, small, monkeypatch, name):
+    from baglight.operators import bootstrap
+    from baglight.plans import registry
+
+    drawn = []
+    kept = bootstrap.replicates
+    monkeypatch.setattr(bootstrap, "replicates", lambda rows, n, seed: drawn.append(n) or kept(rows, n, seed))
+    assert registry.QUERIES[name](spark, small).columns == registry.QUERIES[name.removesuffix("_1000")](spark, small).columns
+    assert drawn == [1000, 50]
