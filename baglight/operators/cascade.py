@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baglight.operators.recognition import average_precision, auroc
+from baglight.operators.recognition import average_precision, auroc, bag_report
 
 
 def crop_scores(crops: DataFrame, first: int) -> DataFrame:
@@ -50,3 +50,15 @@ def open_set_report(rows: DataFrame) -> DataFrame:
     both = against.unionByName(base)
     n = against.groupBy("population", "score").agg(F.count("*").alias("n"))
     return auroc(both, ["population", "score"]).join(n, ["population", "score"])
+
+
+def open_set_rates(rows: DataFrame) -> DataFrame:
+    """population, score, tpr_at_fpr_5, tpr_at_fpr_1 against benign of rows as in open_set_report; a ROC for each population and score."""
+    names = [c for c in rows.columns if c not in ("uid", "population")]
+    out = None
+    for kind in ("known", "unknown"):
+        for name in names:
+            screening = rows.filter(F.col("population").isin(kind, "benign")).select((F.col("population") == kind).cast("int").alias("threat"), F.col(name).alias("score"))
+            one = bag_report(screening).filter("n_threat > 0").select(F.lit(kind).alias("population"), F.lit(name).alias("score"), "tpr_at_fpr_5", "tpr_at_fpr_1")
+            out = one if out is None else out.unionByName(one)
+    return out

@@ -96,3 +96,21 @@ def top_boxes(props: DataFrame, scores: DataFrame, classes: int = 3, least: floa
     best = Window.partitionBy("uid").orderBy(F.desc("p"), "cls")
     top = scores.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= classes)
     return props.join(top, "uid").select("uid", "k", "cls", (F.col("p") * F.col("peak")).alias("score")).filter(F.col("score") >= least)
+
+
+def crop_boxes(crops: DataFrame, scans: DataFrame | None = None, mix: float = 0.0, classes: int = 3, least: float = 0.02) -> DataFrame:
+    """uid, k, cls, score: each proposal with the best classes of its own crop (uid, k, cls, p); with mix, that share of the score is the scan's (uid, cls, p), where it has one."""
+    s = F.col("p")
+    if mix > 0 and scans is not None:
+        crops = crops.join(scans.select("uid", "cls", F.col("p").alias("of_scan")), ["uid", "cls"], "left")
+        s = F.coalesce((1 - mix) * s + mix * F.col("of_scan"), s)
+    best = Window.partitionBy("uid", "k").orderBy(F.desc("score"), "cls")
+    top = crops.select("uid", "k", "cls", s.alias("score")).withColumn("n", F.row_number().over(best))
+    return top.filter((F.col("n") <= classes) & (F.col("score") >= least)).drop("n")
+
+
+def placed(props: DataFrame, scans: DataFrame, least: float = 2.0) -> DataFrame:
+    """Proposals (uid, k, peak, x1, y1, x2, y2 in the letterbox) in their pictures (uid, scale, pad_x, pad_y, img_w, img_h), cut off at the edges; a side under `least` pixels drops the proposal."""
+    x1, y1, x2, y2 = G.from_cache(G.box(), *[F.col(c) for c in ("scale", "pad_x", "pad_y", "img_w", "img_h")])
+    at = props.join(scans, "uid").select("uid", "k", "peak", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+    return at.filter((F.col("x2") - F.col("x1") >= least) & (F.col("y2") - F.col("y1") >= least))

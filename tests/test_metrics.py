@@ -122,3 +122,25 @@ def test_whole_bootstrap_is_registered(spark, small, monkeypatch, name):
     monkeypatch.setattr(bootstrap, "replicates", lambda rows, n, seed: drawn.append(n) or kept(rows, n, seed))
     assert registry.QUERIES[name](spark, small).columns == registry.QUERIES[name.removesuffix("_1000")](spark, small).columns
     assert drawn == [1000, 50]
+
+
+def test_classes_of_proposals_by_their_own_crops(spark):
+    crops = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.2), (1, 1, 0, 0.1), (1, 1, 1, 0.8), (1, 1, 2, 0.01), (2, 0, 0, 0.4)], "uid int, k int, cls int, p double")
+    scans = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.0), (1, 2, 0.0)], "uid int, cls int, p double")
+    got = lambda df: {(r.uid, r.k, r.cls): round(r.score, 6) for r in df.collect()}
+    assert got(detection.crop_boxes(crops, classes=1)) == {(1, 0, 0): 0.9, (1, 1, 1): 0.8, (2, 0, 0): 0.4}
+    assert got(detection.crop_boxes(crops, scans, mix=0.5)) == {(1, 0, 0): 0.7, (1, 0, 1): 0.1, (1, 1, 0): 0.3, (1, 1, 1): 0.4, (2, 0, 0): 0.4}
+
+
+def test_proposals_in_their_pictures(spark):
+    props = spark.createDataFrame([(1, 0, 0.9, 0.0, 20.0, 30.0, 60.0), (1, 1, 0.5, 0.0, 0.0, 50.0, 20.5)], "uid int, k int, peak double, x1 double, y1 double, x2 double, y2 double")
+    scans = spark.createDataFrame([(1, 0.5, 0, 20, 50, 60)], "uid int, scale double, pad_x int, pad_y int, img_w int, img_h int")
+    assert [tuple(r) for r in detection.placed(props, scans).collect()] == [(1, 0, 0.9, 0.0, 0.0, 50.0, 60.0)]
+
+
+def test_rates_of_an_open_set(spark):
+    from baglight.operators import cascade
+
+    rows = [(i, "benign", i / 100) for i in range(100)] + [(200, "unknown", 0.97), (201, "unknown", 0.5), (202, "known", 1.0), (203, None, 1.0)]
+    got = {(r.population, r.score): (r.tpr_at_fpr_5, r.tpr_at_fpr_1) for r in cascade.open_set_rates(spark.createDataFrame(rows, "uid int, population string, s double")).collect()}
+    assert got[("known", "s")] == (1.0, 1.0) and got[("unknown", "s")] == (0.5, 0.0)
