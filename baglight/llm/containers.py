@@ -33,7 +33,7 @@ from baglight.functions.stage import stage
 from baglight.operators.rows import running_sum
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
-FILLINGS, STEPS, NODES = 6, 400, 50_000
+FILLINGS, STEPS, NODES, WIDER = 6, 400, 50_000, 8
 
 
 class _Left:
@@ -59,7 +59,7 @@ class _Left:
                 insort(self.sizes, s)
 
 
-def fillings(left: _Left, room: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def fillings(left: _Left, room: int, wide: int = 1) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Undominated ways to fill room, as (waste, filling), the least waste first."""
     found: dict[tuple[tuple[int, int], ...], int] = {}
     steps = 0
@@ -93,14 +93,14 @@ def fillings(left: _Left, room: int) -> list[tuple[int, tuple[tuple[int, int], .
             n = min(count[s], rest // s)
             for q in (n, n - 1) if n > 1 else (n,):
                 done |= search(i, [*chosen, (s, q)], rest - q * s, max(1, breadth - 1))
-                if steps > STEPS or len(found) >= 4 * FILLINGS or done and len(found) >= FILLINGS:
+                if steps > wide * STEPS or len(found) >= 4 * wide * FILLINGS or done and len(found) >= wide * FILLINGS:
                     return done
         return done
 
-    search(len(sizes), [], room, 3)
+    search(len(sizes), [], room, 3 * wide)
     best = sorted(found.items(), key=lambda f: (f[1], [-s for s, _ in f[0]]))
     kept = [(w, f) for f, w in best if not _dominated(f, w, left)]
-    return kept[:FILLINGS]
+    return kept[: wide * FILLINGS]
 
 
 def _dominated(filling: tuple[tuple[int, int], ...], waste: int, left: _Left) -> bool:
@@ -191,16 +191,29 @@ def pack(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[Patt
     size = sum(t for _, t in incumbent)
     bound = lower_bound(counts, capacity)
     volume = sum(s * n for s, n in counts.items())
-    target = bound
+    best, tried, target = incumbent, set(), bound
     while target < size and nodes > 0:
         found, nodes = _complete(counts, capacity, target * capacity - volume, nodes)
+        tried.add(target)
         if found:
-            return found
+            best, size = found, sum(t for _, t in found)
+            break
         target += max(1, (size - target) // 4)
-    return incumbent
+    # The targets that were passed over, then all below the best with more fillings.
+    for wide in (1, WIDER):
+        for target in range(bound, size):
+            if nodes <= 0:
+                return best
+            if wide == 1 and target in tried:
+                continue
+            found, nodes = _complete(counts, capacity, target * capacity - volume, nodes, wide)
+            if found:
+                best, size = found, sum(t for _, t in found)
+                break
+    return best
 
 
-def _complete(counts: dict[int, int], capacity: int, slack: int, nodes: int) -> tuple[list[Pattern] | None, int]:
+def _complete(counts: dict[int, int], capacity: int, slack: int, nodes: int, wide: int = 1) -> tuple[list[Pattern] | None, int]:
     """Depth-first bin completion with at most slack wasted in all; what is left of nodes."""
     left = _Left(counts)
     path: list[tuple[tuple[tuple[int, int], ...], int, int, Iterator]] = []
@@ -208,7 +221,7 @@ def _complete(counts: dict[int, int], capacity: int, slack: int, nodes: int) ->
     def choices() -> Iterator:
         largest = left.sizes[-1]
         left.take(((largest, 1),), 1)
-        ways = fillings(left, capacity - largest)
+        ways = fillings(left, capacity - largest, wide)
         left.give(((largest, 1),), 1)
         for waste, filling in ways:
             whole: dict[int, int] = {largest: 1}

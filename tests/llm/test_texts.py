@@ -186,3 +186,20 @@ def test_subjects_of_nothing(spark):
     labels, areas = spark.createDataFrame([], "doc_id long, subject string"), spark.createDataFrame([("law",)], "subject string")
     assert subjects.subjects(docs, subjects.fit(docs, labels, areas)).count() == 0
     assert subjects.subjects(docs.limit(0), subjects.fit(docs.limit(0), labels, areas)).count() == 0
+
+
+@pytest.mark.parametrize("seed, capacity, k, most", [(9, 200, 80, 29), (63, 200, 40, 15)])
+def test_packing_tries_targets_that_were_passed_over(seed, capacity, k, most):
+    rng = random.Random(seed)
+    rng.choice([30, 50, 100, 200]), rng.choice([8, 15, 25, 40, 80])
+    counts = {}
+    for _ in range(k):
+        s = rng.randint(capacity // 5, capacity // 2 + 2)
+        counts[s] = counts.get(s, 0) + 1
+    packed = containers.pack(counts, capacity, 3000)
+    held = {}
+    for filling, times in packed:
+        assert sum(s * n for s, n in filling) <= capacity
+        for s, n in filling:
+            held[s] = held.get(s, 0) + n * times
+    assert held == counts and sum(t for _, t in packed) <= most
