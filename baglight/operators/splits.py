@@ -5,61 +5,113 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from baglight.functions.stage import stage, width
+from baglight.functions.stage import drop_stage, stage, width
 from baglight.operators.graph import components
 from baglight.operators.rows import running_sum
 
+#: Signatures filed under one block value, above which the value is divided.
+FULL = 4096
+
 
 def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """Different bits of two signatures of two 64-bit halves."""
     return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
 
 
-def blocks(d: Column, a: Column, most: int) -> list[tuple[Column, int]]:
-    """The 128 bits in most // 2 + 1 blocks (two at least): two signatures at most `most` bits apart have a block with at most one bit different."""
+def blocks(d: Column, a: Column, most: int, bits: int = 128) -> list[tuple[Column, int]]:
+    """The lower `bits` bits in most // 2 + 1 blocks (two at least), value and width: two signatures at most `most` bits apart have a block with at most one bit different."""
     n = max(2, most // 2 + 1)
-    at = [round(i * 128 / n) for i in range(n + 1)]
+    at = [round(i * bits / n) for i in range(n + 1)]
     out = []
     for lo, hi in zip(at, at[1:], strict=False):
         parts = []
         for half, base in ((d, 0), (a, 64)):
             s, e = max(lo, base), min(hi, base + 64)
             if s < e:
-                bits = half if e - s == 64 else F.shiftrightunsigned(half, s - base).bitwiseAND(F.lit((1 << (e - s)) - 1))
-                parts.append(F.shiftleft(bits, s - lo) if s > lo else bits)
+                run = half if e - s == 64 else F.shiftrightunsigned(half, s - base).bitwiseAND(F.lit((1 << (e - s)) - 1))
+                parts.append(F.shiftleft(run, s - lo) if s > lo else run)
         out.append((parts[0] if len(parts) == 1 else parts[0].bitwiseOR(parts[1]), hi - lo))
     return out
 
 
+def _turned(d: Column, a: Column, by: int) -> tuple[Column, Column]:
+    """The signature turned right by so many bits."""
+    lo, hi = (d, a) if by % 128 < 64 else (a, d)
+    r = by % 64
+    if not r:
+        return lo, hi
+    join = lambda x, y: F.shiftrightunsigned(x, r).bitwiseOR(F.shiftleft(y, 64 - r))
+    return join(lo, hi), join(hi, lo)
+
+
 def _key(i: int, value: Column, bits: int) -> Column:
-    """One number for block i with this value; wide blocks are hashed, which can only add candidates."""
-    return value.bitwiseOR(F.lit(i << 56)) if bits <= 56 else F.xxhash64(F.lit(i), value)
+    """One number for block i with this value, i in the top byte; wide blocks are hashed, which can only add candidates."""
+    value = value if bits <= 56 else F.xxhash64(value).bitwiseAND(F.lit((1 << 56) - 1))
+    return value.bitwiseOR(F.lit(i << 56))
 
 
-def near_signatures(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """d, a, d2, a2, distance of distinct signatures (d, a) of both sides at most `most` bits apart.
+def _filed(made: list[tuple[Column, int]]) -> Column:
+    """The key of every block."""
+    return F.explode(F.array(*[_key(i, v, n) for i, (v, n) in enumerate(made)]))
 
-    The left side looks up its blocks and every block with one bit flipped, the right side files its
-    blocks: an equi-join on block values that misses no pair, checked by the exact distance.
-    """
-    made = blocks(F.col("d"), F.col("a"), most)
 
-    def probe(i: int, value: Column, bits: int) -> Column:
-        flips = F.lit([0, *[(1 << j) - ((1 << 64) if j == 63 else 0) for j in range(bits)]]).cast("array<bigint>")
-        return F.transform(flips, lambda x: _key(i, value.bitwiseXOR(x), bits))
+def _probed(df: DataFrame, made: list[tuple[Column, int]], name: str) -> DataFrame:
+    """df with the key of every block as it is and with each one bit flipped, as rows."""
+    masks = [[0, *[(1 << j) - ((1 << 64) if j == 63 else 0) for j in range(n)]] for _, n in made]
+    place, ends = F.col("__at"), [sum(map(len, masks[: i + 1])) for i in range(len(masks))]
+    key = F.coalesce(*[F.when(place < e, _key(i, v.bitwiseXOR(F.col("__mask")), n)) for i, ((v, n), e) in enumerate(zip(made, ends, strict=True))])
+    each = df.select("*", F.posexplode(F.lit(sum(masks, [])).cast("array<bigint>")).alias("__at", "__mask"))
+    return each.withColumn(name, key).drop("__at", "__mask")
 
-    # A few signatures become very many keys: they are spread over all tasks first.
-    spread = left.select("d", "a").repartition(width(left.sparkSession), "d", "a")
-    probes = spread.select("d", "a", F.explode(F.flatten(F.array(*[probe(i, v, n) for i, (v, n) in enumerate(made)]))).alias("key"))
-    filed = right.select(F.col("d").alias("d2"), F.col("a").alias("a2"), F.explode(F.array(*[_key(i, v, n) for i, (v, n) in enumerate(made)])).alias("key"))
-    gap = hamming((F.col("d"), F.col("a")), (F.col("d2"), F.col("a2"))).alias("distance")
-    return probes.join(filed, "key").select("d", "a", "d2", "a2", gap).filter(F.col("distance") <= most).distinct()
 
+def _first(x: list[tuple[Column, int]]) -> Column:
+    """Number of the first block of a difference with at most one bit set."""
+    return F.coalesce(*[F.when(F.bit_count(v) <= 1, F.lit(i)) for i, (v, _) in enumerate(x)])
 
-def signatures(scans: DataFrame) -> DataFrame:
-    """uid, d, a of scans with a signature; null and all-zero ones are none."""
+
+def near_signatures(left: DataFrame, right: DataFrame, most: int, full: int = FULL) -> DataFrame:
+    """d, a, d2, a2, distance of the signatures (d, a) of both sides at most `most` bits apart; each side's signatures are distinct and not null.
+
+    The left side looks up its blocks and every block with one bit flipped, the right side files its
+    blocks: an equi-join on block values that misses no pair, checked by the exact distance. A pair
+    counts where its first such block meets only, so nothing is found twice. Blocks filed more than
+    `full` times (a margin that most pictures share) are divided once more, by the same rule over the
+    bits outside the block, so that no key gathers a share of all rows. Both sides are many times
+    the rows that the optimizer sees before the explode, hence the hint: neither may be broadcast.
+    """
+    left, right = left.select("d", "a"), right.select(F.col("d").alias("d2"), F.col("a").alias("a2"))
+    made, theirs = blocks(F.col("d"), F.col("a"), most), blocks(F.col("d2"), F.col("a2"), most)
+    # A few signatures become very many keys: they are spread over all tasks first, round robin, as the planner drops a repartition by their own columns.
+    n = width(left.sparkSession)
+    probes, filed = _probed(left.repartition(n), made, "key"), right.repartition(n).select("d2", "a2", _filed(theirs).alias("key"))
+    hot = stage(filed.groupBy("key").count().filter(F.col("count") > full).select("key"), "hot")
+    distance = hamming((F.col("d"), F.col("a")), (F.col("d2"), F.col("a2")))
+    apart = [F.col("d").bitwiseXOR(F.col("d2")), F.col("a").bitwiseXOR(F.col("a2"))]
+    number = F.shiftrightunsigned(F.col("key"), 56)
+    mine = number == _first(blocks(*apart, most))
+    out = lambda j: j.filter((distance <= most) & mine).select("d", "a", "d2", "a2", distance.alias("distance"))
+    if not hot.head(1):
+        drop_stage(hot)
+        return out(probes.hint("merge").join(filed, "key"))
+    cold = out(probes.join(hot, "key", "left_anti").hint("merge").join(filed.join(hot, "key", "left_anti"), "key"))
+    ends = [round((i + 1) * 128 / len(made)) for i in range(len(made))]
+    rest = 128 - min(bits for _, bits in made)
+
+    def outside(d: Column, a: Column) -> list[tuple[Column, int]]:
+        turned = [_turned(d, a, e) for e in ends]
+        pick = lambda h: F.coalesce(*[F.when(number == i, t[h]) for i, t in enumerate(turned)])
+        return blocks(pick(0), pick(1), most, rest)
+
+    probes = _probed(probes.join(hot, "key", "left_semi").repartition(n), outside(F.col("d"), F.col("a")), "sub")
+    filed = filed.join(hot, "key", "left_semi").repartition(n).withColumn("sub", _filed(outside(F.col("d2"), F.col("a2"))))
+    divided = probes.hint("merge").join(filed, ["key", "sub"]).filter(F.shiftrightunsigned(F.col("sub"), 56) == _first(outside(*apart)))
+    return cold.union(out(divided))
+
+
+def signatures(scans: DataFrame, *more: str) -> DataFrame:
+    """uid, d, a and further columns of scans with a signature; null and all-zero ones are none."""
     ok = "sig_d is not null and sig_a is not null and not (sig_d = 0 and sig_a = 0)"
-    return scans.filter(ok).select("uid", F.col("sig_d").alias("d"), F.col("sig_a").alias("a"))
+    return scans.filter(ok).select("uid", F.col("sig_d").alias("d"), F.col("sig_a").alias("a"), *more)
 
 
 def classes(sigs: DataFrame) -> DataFrame:
@@ -75,20 +127,34 @@ def near_duplicates(sigs: DataFrame, most: int) -> DataFrame:
     return named.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
 
 
-def duplicate_groups(sigs: DataFrame, most: int = 12, least: int = 4, share: float = 0.02) -> tuple[DataFrame, int]:
-    """(uid, group), bits: components of near-duplicates, with the limit lowered from `most` until no group holds more than max(10, share of all).
+def duplicate_groups(sigs: DataFrame, most: int = 12, least: int = 0, share: float = 0.02) -> tuple[DataFrame, int]:
+    """(uid, group), bits: components of near-duplicates at the greatest limit from `most` down to `least` bits at which no group holds more than max(10, share of all), or at `least`.
 
-    Pairs are found once, at the widest limit. group is the least uid; scans alone have their own.
+    Pairs are found once, at the widest limit. Groups only shrink with the limit, so it is found by
+    bisection. group is the least uid; scans alone have their own.
     """
     c = stage(classes(sigs), "classes")
     pairs = stage(near_duplicates(sigs, most), "pairs")
     total = sigs.count()
-    for bits in range(most, least - 1, -1):
+
+    def at(bits: int) -> tuple[DataFrame, bool]:
         comp = stage(components(pairs.filter(F.col("distance") <= bits).select("a", "b")).toDF("rep", "group"), "groups")
         named = c.join(comp, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
         largest = named.groupBy("group").agg(F.sum("scans").alias("n")).agg(F.max("n")).head()[0] or 0
-        if largest <= max(10, share * total) or bits == least:
-            break
+        return named, largest <= max(10, share * total)
+
+    bits, (named, fits) = most, at(most)
+    if not fits:
+        bits, above = least, most
+        named = None
+        while above - bits > 1:
+            middle = (bits + above) // 2
+            tried, fits = at(middle)
+            if fits:
+                bits, named = middle, tried
+            else:
+                above = middle
+        named = named or at(bits)[0]
     return sigs.join(named.select("d", "a", "group"), ["d", "a"]).select("uid", "group"), bits
 
 

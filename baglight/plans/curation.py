@@ -168,6 +168,14 @@ ORACLES = {
     "near_dup_pairs": f"with {_REPS} select * from pairs",
     "leakage_audit": f"""with {_SIG} select e.uid, min(bit_count(xor(e.d, t.d)) + bit_count(xor(e.a, t.a))) as distance from sig e, sig t
 where e.part in ('val', 'test') and t.part = 'train' and bit_count(xor(e.d, t.d)) + bit_count(xor(e.a, t.a)) <= {BITS} group by e.uid""",
+    "dup_groups": f"""with recursive {_REPS},
+of as (select d, a, min(uid) as rep, count(*) as scans from sig group by d, a), bits as (select unnest(range({BITS} + 1)) as t),
+way as (select t, a, b from pairs, bits where distance <= t union all select t, b, a from pairs, bits where distance <= t),
+reach(t, n, r) as (select t, rep, rep from of, bits union select reach.t, way.b, reach.r from reach join way on way.t = reach.t and way.a = reach.n),
+comp as (select t, n as rep, min(r) as g from reach group by t, n),
+largest as (select t, max(s) as s from (select t, g, sum(scans) as s from comp join of using (rep) group by t, g) group by t),
+pick as (select coalesce(max(t) filter (s <= greatest(10, 0.02 * (select count(*) from sig))), 0) as t from largest)
+select sig.uid, comp.g as "group" from sig join of using (d, a) join comp using (rep) join pick using (t)""",
     "split_report": f"""with {SCANS}, n as (select part, coalesce(len(list_distinct(labels)) + (list_contains(list_transform(labels, lambda x: x is null), true))::int, 0) as n from scans)
 select part, count(*) as scans, sum((n > 0)::int)::bigint as threat, sum((n = 0)::int)::bigint as clean, sum((n > 1)::int)::bigint as multi from n group by part""",
     "split_class_report": f"""with {SCANS}, l as (select distinct part, uid, unnest(labels) as cls from scans), g as (select part, c as cls from (select distinct part from scans), (select unnest(range(20)) as c))

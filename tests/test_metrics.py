@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -93,7 +94,31 @@ def test_near_signatures_miss_nothing(spark):
         got = {(r.a, r.b, r.distance) for r in splits.near_duplicates(sigs, most).collect()}
         assert got == {p for p in every if 0 < p[2] <= most}
     groups, bits = splits.duplicate_groups(splits.signatures(df))
-    assert groups.count() == len(rows) and 4 <= bits <= 12
+    assert groups.count() == len(rows) and bits == 12
+
+
+def test_near_signatures_of_a_full_block(spark):
+    rng = random.Random(7)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    # A third of all share their lower 40 bits, so all blocks there are full.
+    rows = list({(rng.getrandbits(24) << 40 | 12345 if i % 3 == 0 else rng.getrandbits(64), rng.choice([7, 7 ^ 1 << rng.randint(0, 63), rng.getrandbits(64)])) for i in range(240)})
+    df = spark.createDataFrame([(signed(d), signed(a)) for d, a in rows], "d long, a long")
+    for most in (12, 20):
+        want = Counter((signed(d), signed(a), signed(e), signed(b), n) for d, a in rows for e, b in rows if (n := (d ^ e).bit_count() + (a ^ b).bit_count()) <= most)
+        for full in (4, 20, 10**6):
+            assert Counter(tuple(r) for r in splits.near_signatures(df, df, most, full).collect()) == want
+
+
+def test_groups_tighten_until_none_is_too_large(spark):
+    chain = [(1 << i) - 1 for i in range(12)]  # neighbours one bit apart: one group at any limit from 1 on
+    far = [random.Random(i).getrandbits(62) << 1 for i in range(30)]
+    df = spark.createDataFrame([(f"u{i:02}", x, 5) for i, x in enumerate(chain + far)], "uid string, sig_d long, sig_a long")
+    groups, bits = splits.duplicate_groups(splits.signatures(df))
+    assert bits == 0 and groups.select("group").distinct().count() == 42
+    wide = [sum(1 << (5 * j) for j in range(i)) for i in range(12)] + [sum(1 << (5 * j) for j in range(3)) | 0b111 << 61 - 1]
+    df = spark.createDataFrame([(f"u{i:02}", x, 5 << (i // 6) * 6) for i, x in enumerate(wide)], "uid string, sig_d long, sig_a long")
+    groups, bits = splits.duplicate_groups(splits.signatures(df))
+    assert 0 <= bits < 12 and max(Counter(r.group for r in groups.collect()).values()) <= 10
 
 
 def test_robust_fit_of_few_values(spark):

@@ -34,3 +34,22 @@ def test_the_current_row_is_cut_before_the_shuffle(spark, small):
 def test_no_product_of_two_tables(spark, small, name):
     text = plan(registry.QUERIES[name](spark, small))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs", "leakage_audit"])
+def test_exploded_signatures_are_never_broadcast(spark, small, name):
+    df = registry.QUERIES[name](spark, small)
+    df.collect()
+    text = plan(df)
+    assert "isFinalPlan=true" in text or "AdaptiveSparkPlan" in text
+    for side in re.findall(r"BroadcastHashJoin[^\n]*", text):
+        assert "key" not in side
+
+
+def test_signatures_are_spread_before_they_become_keys(spark, small):
+    rows = spark.range(1, 2000).selectExpr("id * 7919 as d", "id * 104729 as a").distinct()
+    from baglight.operators.splits import near_signatures
+
+    df = near_signatures(rows, rows, 12)
+    df.collect()
+    assert plan(df).count("REPARTITION_BY_NUM") >= 2
