@@ -128,7 +128,7 @@ def test_chunks_put_together_are_the_text_and_follow_the_content(spark):
     rng = random.Random(5)
     body = "".join(rng.choice("abcdefgh/_0123456789é") for _ in range(4000))
     rows = [(1, body), (2, "other head " + body), (3, ""), (4, None), (5, "abc"), (6, "x" * 500)]
-    got = split_overlap.chunks(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()
+    got = split_overlap.chunks(spark.createDataFrame(rows, "k int, t string"), "t").collect()
     size = Counter()
     digests = defaultdict(set)
     for r in got:
@@ -139,9 +139,10 @@ def test_chunks_put_together_are_the_text_and_follow_the_content(spark):
 
 
 def test_overlap_fractions(spark):
-    df = spark.createDataFrame([("a", "same text as in the other split, word for word"), ("b", "nothing of this one is anywhere else 12345")], "k string, t string")
-    got = {r.k: r.fraction for r in split_overlap.overlap_fractions(df, df.filter("k = 'a'"), "k", "t").collect()}
-    assert got["a"] == 1.0 and got["b"] < 0.5
+    text = "same text as in the other split, word for word"
+    df = spark.createDataFrame([("train", text), ("val", text), ("val", "nothing of this one is anywhere else 12345"), ("test", None), ("train", None)], "part string, file string")
+    got = {r.file: r.fraction for r in split_overlap.file_overlaps(df).collect()}
+    assert len(got) == 2 and got.pop(text) == 1.0 and max(got.values()) < 0.5
 
 
 def test_pairs_by_brute_force(spark):
@@ -169,3 +170,4 @@ def test_pairs_by_brute_force(spark):
     assert split_overlap.cross_split_pairs(df.limit(0)).count() == 0
     report = split_overlap.overlap_report(df.withColumn("folder_name", F.lit("x")))
     assert sum(r.pairs for r in report.collect()) == len(want)
+    assert sum(r.overlapping for r in report.collect()) == len({v for p in want for v in p if v in {r[0] for r in rows if r[1] in ("val", "test")}})
