@@ -43,29 +43,30 @@ CLUTTER = ("limited", "medium", "heavy", "extreme")
 def label_class(raw: Column) -> Column:
     """Struct cls, status of a raw label; cls is -1 where there is no class.
 
-    Exact spellings and numbers are settled on columns; only labels left over, as a rule few
-    spellings, are compared by similarity in a vectorised function.
+    `class 4` is a number, `class 4_Knife` is read by its name. Exact spellings, numbers and marks
+    of a class are settled on columns; only labels left over, as a rule few spellings, are compared
+    by similarity in a vectorised function. Both kinds of guess have the status fuzzy.
     """
-    clean = F.regexp_replace(F.lower(raw), "[^a-z0-9]", "")
-    numbered = F.regexp_extract(raw, r"(?i)^\s*class[\s_.-]*(\d{1,4})\s*$", 1)
-    number = F.when(numbered != "", numbered.try_cast("int"))
-    bare = F.when(clean.rlike("^[0-9]{1,4}$"), clean.try_cast("int"))
+    plain = F.regexp_replace(F.lower(raw), r"^\s+|\s+$", "")
+    head = r"(?s)^class[\s_-]*(\d+)[\s_:.-]*(.*)$"
+    number, name = F.regexp_extract(plain, head, 1), F.regexp_extract(plain, head, 2)
+    alone = (number != "") & (name == "")
+    clean = F.regexp_replace(F.when(number != "", name).otherwise(plain), "[^a-z0-9]", "")
+    value = F.when(alone, number).when(clean.rlike("^[0-9]+$"), clean).try_cast("long")
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.lit(v))])
     known = F.element_at(table, clean)
     made = lambda c, s: F.struct(c.cast("int").alias("cls"), F.lit(s).alias("status"))
     none = F.lit(-1)
-    threed = clean.rlike("3d|printed") & clean.rlike("gun|pistol|firearm")
+    numeric = F.when(value.between(1, 20), made(value - 1, "numeric")).when(alone & (value == 22), made(none, "ignore")).otherwise(made(none, "unmapped"))
     return (
         F.when(raw.isNull(), made(none, "missing"))
-        .when(number.between(1, 20), made(number - 1, "numeric"))
-        .when(number == 22, made(none, "ignore"))
+        .when(alone, numeric)
         .when(clean.isin(*IGNORED), made(none, "ignore"))
         .when(clean.isin(*GENERIC), made(none, "generic"))
         .when(known.isNotNull(), made(known, "ok"))
-        .when(bare.between(1, 20), made(bare - 1, "numeric"))
-        .when(bare.isNotNull(), made(none, "unmapped"))
-        .when(threed, made(F.lit(2), "rule"))
-        .when(clean.contains("explosive"), made(F.lit(0), "rule"))
+        .when(clean.rlike("^[0-9]+$"), numeric)
+        .when(clean.rlike("^3d|3dprint|printedgun"), made(F.lit(SYNONYMS["3dgun"]), "fuzzy"))
+        .when(clean.rlike("^ied|explos|bomb"), made(F.lit(SYNONYMS["explosive"]), "fuzzy"))
         .otherwise(_nearest(clean))
     )
 
@@ -76,12 +77,8 @@ def _nearest(clean: pd.Series) -> pd.DataFrame:
     names = sorted(SYNONYMS, key=lambda s: -len(s))
     seen: dict[str | None, tuple[int, str]] = {None: (-1, "missing")}
     for x in clean.dropna().unique():
-        inside = next((s for s in names if len(s) >= 4 and s in x), None)
-        if inside:
-            seen[x] = (SYNONYMS[inside], "part")
-        else:
-            near = difflib.get_close_matches(x, list(SYNONYMS), 1, 0.8)
-            seen[x] = (SYNONYMS[near[0]], "similar") if near else (-1, "unmapped")
+        found = [s for s in names if len(s) >= 4 and s in x][:1] or difflib.get_close_matches(x, list(SYNONYMS), 1, 0.8)
+        seen[x] = (SYNONYMS[found[0]], "fuzzy") if found else (-1, "unmapped")
     return pd.DataFrame([seen[None if pd.isna(x) else x] for x in clean], columns=["cls", "status"])
 
 

@@ -107,7 +107,7 @@ def blur(maps: DataFrame, h: int, w: int, sigma: float = 1.0) -> DataFrame:
 
 def random_subsample(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows, the first by a hash of the key: a top-k of all rows, the same whatever the partitions."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(k)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(k)
 
 
 def k_centre(bank: DataFrame, key: str, vector: str, k: int) -> DataFrame:

@@ -59,12 +59,15 @@ def pointing_game(peaks: DataFrame, gt: DataFrame, slack: float = 15.0) -> DataF
     return per.groupBy("cls").agg(F.count("*").alias("pairs"), F.avg("hit").alias("accuracy"))
 
 
-def proposal_sweep(props: DataFrame, gt: DataFrame, grid: list[float], most: float) -> DataFrame:
+def proposal_sweep(props: DataFrame, gt: DataFrame, scans: DataFrame, grid: list[float], most: float) -> DataFrame:
     """thr, recall, per_scan, best: box recall and proposals a scan at each threshold; best marks the highest recall under `most`, ties to the larger threshold.
 
+    scans (uid, one row each) are all of the part, those without any box too: on them every proposal is a false alarm.
+    If no threshold keeps below `most`, the highest recall of all is marked.
+
     Every box's best proposal score among those that cover it decides the recall at all thresholds, so the grid isn't joined with the pairs.
     """
-    scans = gt.select("uid").distinct().count()
+    scans = scans.count()
     pair = gt.alias("a").join(props.alias("b"), F.col("a.uid") == F.col("b.uid"), "left")
     covers = (G.iou(G.box("a"), G.box("b")) >= 0.5) | (G.ioa(G.box("a"), G.box("b")) >= 0.5)
     box = pair.groupBy("a.uid", "a.k").agg(F.max(F.when(covers, F.col("b.score"))).alias("score"))

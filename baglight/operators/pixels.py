@@ -93,22 +93,30 @@ def regions(values: np.ndarray, thr: float, least: int) -> list[tuple[float, int
 PROPOSAL = T.StructType([T.StructField("uid", T.LongType()), T.StructField("k", T.LongType()), T.StructField("peak", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")]])
 
 
-def proposals(maps: DataFrame, h: int, w: int, thr: float, top: int, least: int = 2, cell: float = 1.0) -> DataFrame:
-    """uid, k (from 0), peak, box: the top regions of maps (uid, values: h * w numbers by row).
+def proposals(maps: DataFrame, h: int, w: int, thr: float, top: int, least: int = 2, cell: float = 1.0, fallback: float = 0.05, z0: float = 3.0) -> DataFrame:
+    """uid, k (from 0), peak, box: the top regions of maps (uid, values: h * w numbers by row; null or absent: none).
 
-    Where nothing reaches thr, half the map's peak (0.05 at least) is the limit.
+    With a column z (h * w anomaly scores, null: none) a cell's value is the larger of its own and
+    the logistic of z - z0. Where no region of `least` cells reaches thr but the map's peak reaches
+    `fallback`, regions of any size from half the peak on (`fallback` at least) are proposed.
     """
+    both = "z" in maps.columns
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for uid, v in zip(f["uid"], f["values"], strict=True):
-                m = np.asarray(v, np.float64).reshape(h, w)
-                found = regions(m, thr, least) or regions(m, max(0.05, 0.5 * float(m.max())), least)
+            for uid, v, z in zip(f["uid"], f["values"], f["z"] if both else [None] * len(f), strict=True):
+                layers = [] if v is None else [np.asarray(v, np.float64)]
+                if z is not None:
+                    layers.append(1 / (1 + np.exp(z0 - np.asarray(z, np.float64))))
+                if not layers:
+                    continue
+                m = np.max(layers, axis=0).reshape(h, w)
+                found = regions(m, thr, least) or regions(m, max(fallback, 0.5 * float(m.max())), 1)
                 out += [(uid, k, p, *(cell * x for x in b)) for k, (p, *b) in enumerate(found[:top])]
             yield pd.DataFrame(out, columns=PROPOSAL.names)
 
-    return maps.select("uid", "values").mapInPandas(find, PROPOSAL)
+    return maps.select("uid", "values", *(["z"] if both else [])).mapInPandas(find, PROPOSAL)
 
 
 def edges(light: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ from baglight.plans.recognition import rounded
 from baglight.sources.tables import table
 
 BITS = 12
+DRESS = [("  CLASS 4_", " "), ("class-22: ", ""), ("3D ", ""), ("ied-", ""), ("my old ", " no. 2"), ("__", "!!")]
+NUMBERED = ["", "class ", "Class_0", "CLASS-2", "2"]
 WORDS = ["knife", "clutter", "rucksack", "x-ray", "hidden"]
 
 
@@ -28,6 +30,14 @@ def _vocabulary(s: SparkSession, d: str) -> DataFrame:
     return ingest.label_counts(nested.nested_table(table(s, d, "annotation_files", "file_id", "payload", "read_at"), "object"), "label")
 
 
+def _spellings(s: SparkSession, d: str) -> DataFrame:
+    """Names of folders, and of classes in several dresses."""
+    c = table(s, d, "class_names", "class_id", "class_name")
+    dressed = [F.col("class_name"), *[F.concat(F.lit(a), "class_name", F.lit(b)) for a, b in DRESS], *[F.concat(F.lit(a), F.col("class_id").cast("string")) for a in NUMBERED]]
+    names = index(s, d, "folder_name").select(F.col("folder_name").alias("raw"))
+    return names.union(c.select(F.explode(F.array(*dressed)).alias("raw"))).distinct()
+
+
 def _box_vote(s: SparkSession, d: str) -> DataFrame:
     """Corner and size of every box, beside its bounds."""
     b = gt_boxes(s, d)
@@ -114,6 +124,7 @@ QUERIES = {
     "train_subset": lambda s, d: splits.subset(scans(s, d, "part", "labels").filter("part = 'train'").select("uid", "labels"), 0.4).select("uid"),
     "grouped_split": lambda s, d: splits.grouped_split(scans(s, d, "dup_group", "labels").select("uid", F.when(F.col("dup_group") >= 0, F.col("dup_group").cast("string")).otherwise(F.col("uid")).alias("group"), "labels"), 0.15),
     "label_vocab": _vocabulary,
+    "label_spellings": lambda s, d: _spellings(s, d).select("raw", L.label_class(F.col("raw")).alias("m")).select("raw", "m.cls", "m.status"),
     "bbox_vote": lambda s, d: rounded(_box_vote(s, d)),
     "resolve_box": lambda s, d: rounded(_resolved(s, d)),
     "folder_rules": _found,
@@ -129,7 +140,7 @@ QUERIES = {
     "bag_frac_histogram": lambda s, d: ingest.histogram(scans(s, d, "bag_frac"), "bag_frac", 40),
     "group_sizes": lambda s, d: rounded(ingest.describe(scans(s, d, "dup_group").filter("dup_group >= 0").groupBy("dup_group").agg(F.count("*").alias("n")), "n")),
     "mask_sources": lambda s, d: index(s, d, "mask_source", "label_source").groupBy("label_source", "mask_source").agg(F.count("*").alias("n")),
-    "subsample": lambda s, d: table(s, d, "orders", "o_orderkey").orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey").limit(100),
+    "subsample": lambda s, d: anomaly.random_subsample(table(s, d, "orders", "o_orderkey"), "o_orderkey", 100),
     "upsert": lambda s, d: experiments.upsert(*_runs(s, d)),
     "reset": lambda s, d: experiments.without_runs(_runs(s, d)[0], "FRANCE", "UNITED"),
     "headline": lambda s, d: experiments.headline(list(_runs(s, d)), "map").select("run", "map", "place"),
@@ -164,7 +175,20 @@ new as (select n_name as run, n_nationkey::double * 10 as map, n_regionkey as ex
 _STEM = r"regexp_replace(regexp_replace(lower(list_last(string_split(replace({c}, chr(92), '/'), '/'))), '\.[^.]*$', ''), '(_mask|-mask|_seg|-seg|_gt|_label|_segmentation|_bb|_bbox)$', '')"
 _D = "round(avg({v}), 6) as mean, round(stddev_samp({v}), 6) as std, {m1} as least, round(quantile_cont({v}, 0.25), 6) as q25, round(quantile_cont({v}, 0.5), 6) as median, round(quantile_cont({v}, 0.75), 6) as q75, {m2} as most"
 
+_WORDS = "(values " + ", ".join(f"('{k}', {v}, {i})" for i, (k, v) in enumerate(L.SYNONYMS.items())) + ") as w(k, cls, i)"
+_RAW = "select distinct folder_name as raw from idx union select class_name from class_names" + "".join(f" union select '{a}' || class_name || '{b}' from class_names" for a, b in DRESS) + "".join(f" union select '{a}' || class_id from class_names" for a in NUMBERED)
+
 ORACLES = {
+    "label_spellings": f"""with {INDEX}, r as ({_RAW}), s as (select raw, trim(lower(raw)) as s from r),
+h as (select raw, s, regexp_extract(s, '^class[ _-]*([0-9]+)[ _:.-]*(.*)$', 1) as n, regexp_extract(s, '^class[ _-]*([0-9]+)[ _:.-]*(.*)$', 2) as t from s),
+k as (select raw, n <> '' and t = '' as alone, n, regexp_replace(case when n <> '' then t else s end, '[^a-z0-9]', '', 'g') as k from h),
+v as (select *, case when alone then n::bigint when regexp_matches(k, '^[0-9]+$') then k::bigint end as v, (select w.cls from {_WORDS} where w.k = k.k) as same,
+  (select w.cls from {_WORDS} where len(w.k) >= 4 and contains(k.k, w.k) order by len(w.k) desc, w.i limit 1) as inner_cls from k),
+j as (select raw, case when not alone and k in {L.IGNORED} then {{'c': -1, 's': 'ignore'}} when not alone and k in {L.GENERIC} then {{'c': -1, 's': 'generic'}} when not alone and same is not null then {{'c': same, 's': 'ok'}}
+  when v between 1 and 20 then {{'c': v - 1, 's': 'numeric'}} when alone and v = 22 then {{'c': -1, 's': 'ignore'}} when v is not null then {{'c': -1, 's': 'unmapped'}}
+  when starts_with(k, '3d') or contains(k, '3dprint') or contains(k, 'printedgun') then {{'c': 2, 's': 'fuzzy'}} when starts_with(k, 'ied') or contains(k, 'explos') or contains(k, 'bomb') then {{'c': 0, 's': 'fuzzy'}}
+  when inner_cls is not null then {{'c': inner_cls, 's': 'fuzzy'}} else {{'c': -1, 's': 'unmapped'}} end as m from v)
+select raw, m.c::int as cls, m.s as status from j where raw is not null""",
     "near_dup_pairs": f"with {_REPS} select * from pairs",
     "leakage_audit": f"""with {_SIG} select e.uid, min(bit_count(xor(e.d, t.d)) + bit_count(xor(e.a, t.a))) as distance from sig e, sig t
 where e.part in ('val', 'test') and t.part = 'train' and bit_count(xor(e.d, t.d)) + bit_count(xor(e.a, t.a)) <= {BITS} group by e.uid""",
@@ -214,7 +238,7 @@ select cls, train, test, round(test / nullif(train, 0)::double, 6) as ratio from
 select least(floor((bag_frac - lo) / (hi - lo) * 40), 39)::int as bin, count(*) as n from scans, e where bag_frac is not null group by bin""",
     "group_sizes": f"with {SCANS}, g as (select dup_group, count(*) as n from scans where dup_group >= 0 group by dup_group) select count(*) as n, {_D.format(v='n', m1='min(n)', m2='max(n)')} from g".replace("select count(*) as n, round(avg(n)", "select count(g.n) as n, round(avg(g.n)"),
     "mask_sources": f"with {INDEX} select label_source, mask_source, count(*) as n from idx group by all",
-    "subsample": "select o_orderkey from orders order by md5(o_orderkey::varchar), o_orderkey limit 100",
+    "subsample": "select o_orderkey from orders order by md5('0:' || o_orderkey), o_orderkey limit 100",
     "upsert": f"with {_RUNS} select run, map, null::int as extra from old where run not in (select run from new) union all select run, map, extra from new",
     "reset": f"with {_RUNS} select * from old where run <> 'FRANCE' and not starts_with(run, 'UNITED')",
     "headline": f"with {_RUNS}, a as (select run, coalesce(n.map, o.map) as map from old o left join new n using (run)) select run, map, (select count(*) + 1 from a b where b.map > a.map)::int as place from a",

@@ -64,7 +64,7 @@ QUERIES = {
     "box_ap50": lambda s, d: rounded(detection.box_ap(det_boxes(s, d), gt_boxes(s, d))),
     "proposal_recall": lambda s, d: rounded(detection.proposal_recall(det_boxes(s, d), gt_boxes(s, d))),
     "pointing_game": lambda s, d: rounded(detection.pointing_game(peaks(s, d), gt_boxes(s, d))),
-    "proposal_sweep": lambda s, d: rounded(detection.proposal_sweep(det_boxes(s, d), gt_boxes(s, d), GRID, 0.8)),
+    "proposal_sweep": lambda s, d: rounded(detection.proposal_sweep(det_boxes(s, d), gt_boxes(s, d), index(s, d).select("uid"), GRID, 0.8)),
     "topk_boxes": lambda s, d: rounded(detection.top_boxes(table(s, d, "embeddings", "vec_id").select(F.col("vec_id").alias("uid"), F.lit(1).alias("k"), ((F.col("vec_id") % 7) / 7.0).alias("peak")), preds(s, d).select("uid", "cls", "p"))),
     "square_regions": lambda s, d: rounded(gt_boxes(s, d).select("uid", "k", G.square_region(G.box(), 1.5, 48).alias("r")).select("uid", "k", "r.*")),
     "letterbox": lambda s, d: rounded(index(s, d, "img_w", "img_h").select("uid", G.letterbox(F.col("img_w"), F.col("img_h"), 512).alias("b")).select("uid", "b.*")),
@@ -134,7 +134,7 @@ h as (select uid, cls, max((x between x1 - 15 and x2 + 15 and y between y1 - 15
 select cls, count(*) as pairs, round(avg(hit), 6) as accuracy from h group by cls""",
     "proposal_sweep": f"""with {BOXES}, g as (select unnest([{', '.join(f'{x}e0' for x in GRID)}]) as thr),
 c as (select a.uid, a.k, max(case when {IOU} >= 0.5 or {_IOA} >= 0.5 then b.score end) as score from gt a left join det b using (uid) group by all),
-r as (select thr, (select avg(coalesce(score >= thr, false)::int) from c) as recall, (select count(*) from det where score >= thr) / (select count(distinct uid) from gt)::double as per_scan from g)
+r as (select thr, (select avg(coalesce(score >= thr, false)::int) from c) as recall, (select count(*) from det where score >= thr) / (select count(*) from idx)::double as per_scan from g)
 select thr, round(recall, 6) as recall, round(per_scan, 6) as per_scan, row_number() over (order by (per_scan <= 0.8) desc, recall desc, thr desc) = 1 as best from r""",
     "topk_boxes": f"""with {PREDS}, t as (select * from preds qualify row_number() over (partition by uid order by p desc, cls) <= 3)
 select uid, 1 as k, cls, round(p * ((uid % 7) / 7e0), 6) as score from t where p * ((uid % 7) / 7e0) >= 0.02""",

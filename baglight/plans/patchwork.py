@@ -66,7 +66,20 @@ QUERIES = {
     "worst_alarms": lambda s, d: experiments.top_cases(screening(s, d).filter("threat = 0"), "threat", "score", 10, "uid"),
 }
 
+_MAPS = CELLS + """,
+m as (select uid, r, c, abs(v) as v from cells),
+on1 as (select * from m where v >= 0.2),
+reach1(uid, r, c, id) as (select uid, r, c, r * 8 + c from on1 union select x.uid, x.r, x.c, y.id from reach1 y join on1 x on x.uid = y.uid and abs(x.r - y.r) <= 1 and abs(x.c - y.c) <= 1),
+reg1 as (select uid, id, max(v) as peak, min(c) as x1, min(r) as y1, max(c) + 1 as x2, max(r) + 1 as y2 from (select uid, r, c, min(id) as id from reach1 group by all) join m using (uid, r, c) group by uid, id having count(*) >= 2),
+rest as (select uid, greatest(0.05e0, max(v) / 2) as thr from m where uid not in (select uid from reg1) group by uid),
+on2 as (select m.* from m join rest using (uid) where v >= thr),
+reach2(uid, r, c, id) as (select uid, r, c, r * 8 + c from on2 union select x.uid, x.r, x.c, y.id from reach2 y join on2 x on x.uid = y.uid and abs(x.r - y.r) <= 1 and abs(x.c - y.c) <= 1),
+reg2 as (select uid, id, max(v) as peak, min(c) as x1, min(r) as y1, max(c) + 1 as x2, max(r) + 1 as y2 from (select uid, r, c, min(id) as id from reach2 group by all) join m using (uid, r, c) group by uid, id),
+every as (select * from reg1 union all select * from reg2),
+prop as (select uid, row_number() over (partition by uid order by peak desc, x1, y1, x2, y2) - 1 as k, peak, x1, y1, x2, y2 from every qualify k < 3)"""
+
 ORACLES = {
+    "map_proposals": f"with recursive {_MAPS} select uid, k, round(peak, 6) as peak, x1, y1, x2, y2 from prop",
     "mask_loss": f"""with {CELLS}, q as (select 1 / (1 + exp(-v)) as p, g from cells), c as (select least(greatest(p, 1e-8), 1 - 1e-8) as c, p, g from q)
 select round(avg(-(g * ln(c) + (1 - g) * ln(1 - c))) + 1 - (2 * sum(p * g) + 1) / (sum(p) + sum(g) + 1), 6) as loss from c""",
     "weighted_bce": f"with {PREDS}, c as (select cls, y, least(greatest(p, 1e-8), 1 - 1e-8) as q from preds) select cls, round(avg(case when y = 1 then -2 * ln(q) else -ln(1 - q) end), 6) as loss from c group by cls",

@@ -65,11 +65,13 @@ def test_boxes(spark):
 
 
 def test_labels(spark):
-    raw = [None, "", "class 22", "22", "Class 3", "pliars", "utility knife blade", "3D printed gun", "Scissors!", "threat", "zzz", "7"]
+    raw = [None, "", "class 22", "22", "Class 3", "pliars", "utility knife blade", "3D printed gun", "Scissors!", "threat", "zzz", "7", "ieddevice", "3d part", "class 4_Knife", "class 9 threat", "class 400", " CLASS_5 - "]
     df = spark.createDataFrame([(x,) for x in raw], "raw string").select("raw", label_class(F.col("raw")).alias("m"))
     got = {r.raw: (r.m.cls, r.m.status) for r in df.collect()}
     assert got[None] == (-1, "missing") and got[""] == (-1, "generic") and got["class 22"] == (-1, "ignore") and got["22"] == (-1, "unmapped")
     assert got["Class 3"] == (2, "numeric") and got["pliars"][0] == 15 and got["utility knife blade"][0] == 4 and got["3D printed gun"][0] == 2
+    assert got["ieddevice"] == (0, "fuzzy") and got["3d part"] == (2, "fuzzy") and got["class 4_Knife"] == (3, "ok") and got["class 9 threat"] == (-1, "generic")
+    assert got["class 400"] == (-1, "unmapped") and got[" CLASS_5 - "] == (4, "numeric") and got["pliars"] == (15, "fuzzy")
     assert got["Scissors!"] == (13, "ok") and got["threat"][1] == "generic" and got["zzz"] == (-1, "unmapped") and got["7"] == (6, "numeric")
     r = spark.range(1).select(folder_class(F.lit("class-12_Other Sharp")).alias("a"), folder_class(F.lit("Images")).alias("b"), safe_name(F.lit("//")).alias("c"), duration(F.lit(3725.9)).alias("d"), duration(F.lit(184)).alias("e")).head()
     assert (r.a.id, r.a.label, r.b.id, r.c, r.d, r.e) == (12, "Other Sharp", None, "x", "1h02m", "3m04s")
