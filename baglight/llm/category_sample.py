@@ -8,8 +8,10 @@ counts, and the factors (one a part and class), take part in that.
 
 Rows are then sorted by part, pattern and a random number, their probabilities are summed in that
 order across partitions, and the rows at which the sum crosses an integer after one random start
-are taken (systematic unequal-probability sampling). Classes below their floor are then repaired
-from the rows not taken, and as many rows are given back from classes above their target.
+are taken (systematic unequal-probability sampling). Classes below their need are then repaired
+from the rows not taken, and as many rows are given back from classes above their target. Where the
+needs of a part add up to more than its size, rows are given back down to min_rows; the report says
+by how many rows a class stays short.
 
 Need of a class: the larger of min_rows and share_permille * sample_rows / 1000 rounded up.
 Supply: rows of the part with cache_ok true and labels not null that carry the class; class -1 is
@@ -18,7 +20,7 @@ an empty list of labels.
 Defined cases: ids outside 0-19 and null ids are ignored, and repeated ids count once; a list with
 nothing but such ids has no class and can fill a sample only where no class is wanted, that is
 never; null parts match no target; a part without supply gives no rows and all its classes in the
-report; an empty table gives an empty sample and the whole need as missing.
+report; an empty table gives an empty sample and the whole need as short.
 """
 
 from __future__ import annotations
@@ -33,14 +35,15 @@ from pyspark.sql import functions as F
 from baglight.functions.stage import stage
 from baglight.operators.rows import running_sum
 
+#: Classes are the ids below this, and rounds after which raking ends at the latest: defaults of sample_to_targets.
 CLASSES = 20
 RAKE_ROUNDS = 100
 
 
-def classed(scans: DataFrame) -> DataFrame:
+def classed(scans: DataFrame, classes: int = CLASSES) -> DataFrame:
     """uid, part, classes (sorted, distinct; [-1] for an empty list) of the rows that can be drawn."""
     ok = scans.filter(F.col("cache_ok") & F.col("labels").isNotNull() & F.col("part").isNotNull())
-    kept = F.array_sort(F.array_distinct(F.filter("labels", lambda c: c.isNotNull() & c.between(0, CLASSES - 1))))
+    kept = F.array_sort(F.array_distinct(F.filter("labels", lambda c: c.isNotNull() & c.between(0, classes - 1))))
     return ok.select("uid", "part", F.when(F.size("labels") == 0, F.array(F.lit(-1))).otherwise(kept).alias("classes"))
 
 
@@ -50,10 +53,10 @@ def needs(targets: DataFrame) -> DataFrame:
     return targets.withColumn("need", F.greatest("min_rows", share)).groupBy("part", "class_id").agg(F.max("need").alias("need"), F.max("min_rows").alias("min_rows"), F.max("share_permille").alias("share_permille"), F.max("sample_rows").alias("sample_rows"))
 
 
-def _rake(patterns: DataFrame, wanted: dict) -> dict:
+def _rake(patterns: DataFrame, wanted: dict, rounds: int) -> dict:
     """Factor of each (part, class), so that the expected rows of each class come near wanted.
 
-    A part has at most 2 ** CLASSES + 1 patterns, whatever the rows, so one task holds them as bit masks and
+    A part has at most 2 ** classes + 1 patterns, and with 20 classes these are few whatever the rows, so one task holds them as bit masks and
     counts (12 MB at the very most) and adjusts the factors in place.
     """
     if not wanted:
@@ -69,7 +72,7 @@ def _rake(patterns: DataFrame, wanted: dict) -> dict:
         mine = sum(1 << (c + 1) for c in ids)
         base = ((mask & ~np.int64(mine)) == 0) & (mask != 0)
         factor = np.ones(len(ids))
-        for _ in range(RAKE_ROUNDS):
+        for _ in range(rounds):
             p = np.where(base, n, 0.0)
             share = np.ones(len(n))
             for h, f in zip(has, factor, strict=True):
@@ -101,19 +104,25 @@ def with_probability(rows: DataFrame, factor: dict) -> DataFrame:
     return rows.withColumn("p", F.when(F.size("classes") == 0, F.lit(0.0)).otherwise(p))
 
 
-def sample_to_targets(scans: DataFrame, targets: DataFrame, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """The sample (uid, part, classes) and the report (part, class_id, need, supply, drawn, missing) with a row a target."""
+def sample_to_targets(scans: DataFrame, targets: DataFrame, seed: int = 11, classes: int = CLASSES, rounds: int = RAKE_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The sample (uid, part, classes) and the report (part, class_id, need, supply, drawn, short) with a row a target.
+
+    short: the rows by which the drawn sample stays below the need, whether the supply is too small
+    or the part's needs together are more than its size.
+    """
     need = needs(targets)
-    rows = stage(classed(scans).join(F.broadcast(need.select("part").distinct()), "part", "left_semi"), "classed")
+    rows = stage(classed(scans, classes).join(F.broadcast(need.select("part").distinct()), "part", "left_semi"), "classed")
     patterns = stage(rows.groupBy("part", "classes").agg(F.count("*").alias("n")), "patterns")
     supply = patterns.select("part", F.explode("classes").alias("class_id"), "n").groupBy("part", "class_id").agg(F.sum("n").alias("supply"))
     spec = need.join(supply, ["part", "class_id"], "left").fillna(0, ["supply"]).collect()  # a row a part and class
-    aim, floor, size = {}, {}, {}
+    aim, floor, reach, size = {}, {}, {}, {}
     for r in spec:
-        floor[r.part, r.class_id] = min(r.min_rows, r.supply)
+        # A class that can't meet its need keeps all it has.
+        floor[r.part, r.class_id] = min(r.min_rows if r.supply >= r.need else r.supply, r.supply)
+        reach[r.part, r.class_id] = min(r.need, r.supply)
         aim[r.part, r.class_id] = min(max(floor[r.part, r.class_id], r.share_permille * r.sample_rows / 1000), r.supply)
         size[r.part] = r.sample_rows
-    p = with_probability(rows, _rake(patterns, {k: v for k, v in aim.items() if v > 0}))
+    p = with_probability(rows, _rake(patterns, {k: v for k, v in aim.items() if v > 0}, rounds))
     total = {r.part: r.p for r in p.groupBy("part").agg(F.sum("p").alias("p")).collect()}  # a row a part
     scale = F.coalesce(*[F.when(F.col("part") == k, F.lit(min(1.0, size[k] / v) if v else 0.0)) for k, v in total.items()], F.lit(0.0)) if total else F.lit(0.0)
     p = p.withColumn("p", F.col("p") * scale).withColumn("draw", F.xxhash64(F.lit(seed), "uid"))
@@ -126,11 +135,11 @@ def sample_to_targets(scans: DataFrame, targets: DataFrame, seed: int = 11) -> t
         return {(r.part, r.class_id): r.n for r in df.select("part", F.explode("classes").alias("class_id")).groupBy("part", "class_id").agg(F.count("*").alias("n")).collect()}  # a row a part and class
 
     have = counts(drawn.filter("taken"))
-    short = {k: f - have.get(k, 0) for k, f in floor.items() if f > have.get(k, 0)}
+    short = {k: f - have.get(k, 0) for k, f in reach.items() if f > have.get(k, 0)}
     got = {r.part: r["count"] for r in drawn.filter("taken").groupBy("part").count().collect()}  # a row a part
     fixed = drawn.select("uid", "part", "classes", "taken", "draw")
     if short:
-        # Repair: the first rows by draw of each class below its floor. The rank is filtered below the shuffle.
+        # Repair: the first rows by draw of each class below what it can reach of its need. The rank is filtered below the shuffle.
         lack = _lookup(short, F.col("part"), F.col("class_id"))
         spare = drawn.filter("not taken").select("uid", "part", "draw", F.explode("classes").alias("class_id")).withColumn("lack", lack).filter("lack > 0")
         first = spare.withColumn("n", F.row_number().over(Window.partitionBy("part", "class_id").orderBy("draw", "uid"))).filter(F.col("n") <= F.lit(max(short.values()))).filter("n <= lack")
@@ -142,7 +151,7 @@ def sample_to_targets(scans: DataFrame, targets: DataFrame, seed: int = 11) -> t
     final = stage(sample.select("uid", "part", "classes"), "sample")
     drawn_of = final.select("part", F.explode("classes").alias("class_id")).groupBy("part", "class_id").agg(F.count("*").alias("drawn"))
     report = need.join(supply, ["part", "class_id"], "left").join(drawn_of, ["part", "class_id"], "left").fillna(0, ["supply", "drawn"])
-    report = report.select("part", "class_id", "need", "supply", "drawn", F.greatest(F.col("need") - F.greatest("supply", "drawn"), F.lit(0)).alias("missing"))
+    report = report.select("part", "class_id", "need", "supply", "drawn", F.greatest(F.col("need") - F.col("drawn"), F.lit(0)).alias("short"))
     return final, report
 
 

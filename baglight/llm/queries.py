@@ -31,7 +31,8 @@ def _p2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p2(spark, d)[1].filter("missing > 0").select("part", "class_id")
+    """Targets that the drawn sample misses because the part can't supply them."""
+    return _p2(spark, d)[1].filter("short > 0 and supply < need").select("part", "class_id")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:

@@ -101,17 +101,28 @@ def test_sample_meets_sizes_floors_and_reports_what_is_missing(spark):
     got = sample.collect()
     assert len(got) == 600 == len({r.uid for r in got}) and not {r.uid for r in got} & {"e2", "e3", "e4", "e5"}
     r = {(x.part, x.class_id): x for x in report.collect()}
-    assert r["train", 4].supply == 1 and r["train", 4].missing == 5 and r["train", -1].missing == 2 and r["val", 0].missing == 10
+    assert r["train", 4].supply == 1 and r["train", 4].short == 5 and r["train", -1].short == 2 and r["val", 0].short == 10
     # Rows of class 3 carry another class as well, so 600 rows hold about 54 classes more than the targets ask for.
     assert r["train", 3].drawn >= 60 and 220 <= r["train", 1].drawn <= 270 and 160 <= r["train", 0].drawn <= 205
     again = category_sample.sample_to_targets(drawable(spark, rows), targets)[0]
     assert {x.uid for x in again.collect()} == {x.uid for x in got}
 
 
+def test_sample_reaches_every_need_that_can_be_reached_or_says_so(spark):
+    rng = random.Random(8)
+    rows = [(f"u{i}", "val", True, sorted(rng.sample(range(6), rng.choice([1, 1, 2])))) for i in range(900)] + [(f"s{i}", "val", True, [7]) for i in range(45)]
+    targets = spark.createDataFrame([*[("val", c, 150, 5, 400) for c in range(6)], ("val", 7, 100, 42, 400), ("val", 8, 0, 2, 400)], TARGET)
+    sample, report = category_sample.sample_to_targets(drawable(spark, rows), targets)
+    counted = Counter(c for r in sample.collect() for c in r.classes)
+    assert sample.count() == 400
+    for r in report.collect():
+        assert r.drawn == counted[r.class_id] and r.short == max(0, r.need - r.drawn) and (r.short == 0 or r.class_id == 8)
+
+
 def test_sample_of_nothing(spark):
     targets = spark.createDataFrame([("train", 0, 1000, 5, 10)], TARGET)
     sample, report = category_sample.sample_to_targets(drawable(spark, []), targets)
-    assert sample.count() == 0 and report.head().missing == 10
+    assert sample.count() == 0 and report.head().short == 10
 
 
 @pytest.mark.parametrize("path", ["STCray_A/Images/Class 1_X/a.jpg", "D:\\x\\STCRAY_A\\Images\\.\\Class%201_X\\A.JPG", "//n/stcray_a//Json/../Images///class 1_x/a.jpg", "./STCray_A/Images/Class 1_X/a.jp%67"])
