@@ -77,8 +77,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "lang")
-    model = subjects.fit(docs, table(spark, d, "subject_labels", "doc_id", "subject"), table(spark, d, "subject_areas", "subject"))
-    return subjects.subjects(docs, model)
+    return subjects.Subjects(docs, table(spark, d, "subject_labels", "doc_id", "subject"), table(spark, d, "subject_areas", "subject")).found()
 
 
 def p9_composition(spark: SparkSession, d: str) -> DataFrame:

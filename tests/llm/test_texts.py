@@ -171,9 +171,8 @@ def test_subjects_of_documents_without_labels(spark):
     docs += [(5000, None, None, "x"), (5001, "", "en", "x"), (5002, "  ", "de", "x")]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string, subject string")
     areas = spark.createDataFrame([("law",), ("music",), ("sport",)], "subject string")
-    model = subjects.fit(df, spark.createDataFrame(labels, "doc_id long, subject string"), areas)
     got = {}
-    for r in subjects.subjects(df, model).collect():
+    for r in subjects.Subjects(df, spark.createDataFrame(labels, "doc_id long, subject string"), areas).found().collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     test = [i for i in truth if i % 10]
     right = sum(len(got.get(i, set()) & truth[i]) for i in test)
@@ -184,8 +183,8 @@ def test_subjects_of_documents_without_labels(spark):
 def test_subjects_of_nothing(spark):
     docs = spark.createDataFrame([(1, "One text here.", "en")], "doc_id long, text string, lang string")
     labels, areas = spark.createDataFrame([], "doc_id long, subject string"), spark.createDataFrame([("law",)], "subject string")
-    assert subjects.subjects(docs, subjects.fit(docs, labels, areas)).count() == 0
-    assert subjects.subjects(docs.limit(0), subjects.fit(docs.limit(0), labels, areas)).count() == 0
+    assert subjects.Subjects(docs, labels, areas).found().count() == 0
+    assert subjects.Subjects(docs.limit(0), labels, areas).found().count() == 0
 
 
 @pytest.mark.parametrize("seed, capacity, k, most", [(9, 200, 80, 29), (63, 200, 40, 15)])
