@@ -1,23 +1,26 @@
 """Near-duplicate records with small edits.
 
 A record is the set of different words of its caption. Two records are nearly the same when they
-share at least 0.7 of all their words, that is, when at most t = 3/17 of the sum of their sizes
-stands in one of them only. That difference is never less than the Manhattan distance of any counts
-of words by segment, which gives both the grid and the filter:
-
-* Embedding. A word's hash puts it into one of 32 segments; a record's fingerprint is reduced to its
-  counts (popcounts) per segment.
-* Grid. Words in few records ("rare") are coordinates of their own. A near pair either shares a rare
-  word, or all rare words of both count as difference and only t - rare_a - rare_b words may differ
-  elsewhere. If u may differ, the segments of the other words are laid out in u + 1 blocks, of which
-  at least one is equal in both records, so equal blocks are the cells of the grid. As u depends on
-  the pair, there is a layout for each band of u, and a record enters those bands it can reach.
-* Range join. Inside a cell, records are sorted by their number of rare words, and only the
-  stretch that leaves the band's u is compared, by sizes first and by Manhattan distance next.
+share at least 0.7 of all their words.
+
+* Embedding. A word's hash puts it into one of SEGMENTS segments; a record is reduced to its counts
+  (popcounts) per segment. The Manhattan distance of two records' counts is never more than the
+  words that stand in one of them only, so whatever holds for near counts holds for near records.
+* Grid. A record has a coordinate for each segment it occupies (two for a segment with two words),
+  and these have one order for all records, from the segment that fewest records occupy. Of n
+  coordinates at most (3 n) // 10 are not shared with a given near record, so the first l that a near
+  pair shares are among the first (3 n) // 10 + l of both. Cells are such runs of first shared
+  coordinates: one coordinate where few records occupy it, else two, and any cell with more than
+  FULL records is divided by the next coordinate, as often as needed (DEPTH), wherever its records
+  are. What is still full then is a crowd that agrees in its DEPTH rarest shared coordinates; its
+  pairs are compared in blocks of FULL records spread over the tasks.
+* Range join. Inside a cell, records are sorted by size, and each is compared with those of sizes
+  within reach only, by the Manhattan distance of counts summed to 32 segments.
 * Exact check of what is left, on the words themselves. Links are then closed to groups.
 
-No pair at or above the threshold is lost, at any number of rows. Equal word sets are one record
-until the end, so copies build no pairs. What the choice of "rare" changes is only the work.
+No pair at or above the threshold is lost, at any number of rows, and no cell grows with the rows.
+Equal word sets are one record until the end, so copies build no pairs. Records meet only others of
+their size class, so that a few long texts among many captions have rare coordinates of their own.
 
 Defined cases: null captions and those with fewer than 15 different words take part in nothing;
 order, repetition, letter case, width forms and punctuation of the words don't matter (NFKC, lower
@@ -26,12 +29,14 @@ case); an empty table gives no pairs; extra columns aren't read.
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,24 +46,14 @@ from baglight.operators.graph import components
 LEAST_WORDS = 15
 #: Share of all words that near-duplicates have in common, as a fraction.
 SHARED, OF = 7, 10
-SEGMENTS = 32
-#: A word is rare if at most so many records have it...
-RARE = 128
-#: ...or if this many words are more frequent; bounds what is broadcast to 512 KB.
-FREQUENT_WORDS = 65536
-#: Bands of u, the words that may differ outside the rare ones, as upper ends.
-BANDS = (0, 1, 2, 4, 6, 9, 13)
-KEY_BITS = 40
-#: Keys a partition of the grid is laid out for, and pairs compared at once.
-KEYS_A_PARTITION, PAIRS_AT_ONCE = 1_000_000, 1 << 20
-
-
-def bands(most: int) -> list[tuple[int, int]]:
-    """(least, greatest) u of each band up to at least most; beyond the table they grow by half."""
-    ends = list(BANDS)
-    while ends[-1] < most:
-        ends.append(ends[-1] + ends[-1] // 2)
-    return list(zip([0, *[e + 1 for e in ends]], ends, strict=False))
+#: Segments of the embedding; their occupation is the one table that is broadcast, a byte each. And of the sums compared inside a cell.
+SEGMENTS, SUMS = 1 << 20, 32
+#: Records in a cell, above which it is divided, and coordinates of the deepest cells.
+FULL, DEPTH = 64, 6
+#: Records meet within classes of sizes that end at powers of this.
+CLASS = 128
+#: Keys a partition of the grid is laid out for, and keys and pairs worked on at once.
+KEYS_A_PARTITION, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 20, 1 << 20
 
 
 def words_of(caption: str) -> list[str]:
@@ -117,81 +112,154 @@ def word_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, text).filter(F.col(text).isNotNull()).mapInArrow(sets, f"`{key}` {dict(rows.dtypes)[key]}, h1 long, h2 long, words string")
 
 
-def frequent_words(sets: DataFrame) -> np.ndarray:
-    """Codes of the words in more than RARE records, the FREQUENT_WORDS most frequent at most, sorted."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
-        parts = [codes.of(b.column(0).to_pylist())[1] for b in batches if b.num_rows]
-        if parts:
-            code, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.record_batch([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
-
-    counted = sets.select("words").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter(F.col("n") > RARE)
-    top = counted.orderBy(F.desc("n"), "code").limit(FREQUENT_WORDS).select("code").toPandas()  # at most FREQUENT_WORDS rows
-    return np.sort(top["code"].to_numpy(np.int64).view(np.uint64))
-
-
 def most_different(size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
     """Words that two records of these sizes may differ in."""
     return ((OF - SHARED) * (size_a + size_b)) // (OF + SHARED)
 
 
-def grid_keys(record: np.ndarray, code: np.ndarray, n: int, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(owner, key) of every cell, and size, rare words and segment counts (two words of 16 nibbles) of n records."""
+def _class(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(CLASS) + 1e-9).astype(np.int64)
+
+
+def coordinates(record: np.ndarray, code: np.ndarray, n: int, segments: int) -> tuple[np.ndarray, ...]:
+    """(view, segment, coordinate) of the words of n records, and record and class of each view.
+
+    A record is seen in its size class, and in the next one too if a near record may be there.
+    A coordinate is a segment and the number of the word in it, as one hash.
+    """
     size = np.bincount(record, minlength=n)
-    at = np.searchsorted(frequent, code)
-    common = np.zeros(len(code), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == code
-    rare = np.bincount(record[~common], minlength=n)
-    counts = np.minimum(np.bincount(record * SEGMENTS + (code % np.uint64(SEGMENTS)).astype(np.int64), minlength=n * SEGMENTS), 15).reshape(n, 2, 16).astype(np.uint64)
-    sketch = (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
-    # The largest u with any partner: one without rare words, and with u words more.
-    reach = np.floor(((OF - SHARED) * size - OF * rare) / SHARED + 1e-9).astype(np.int64)
-    owners, keys = [record[~common]], [_mix(code[~common] ^ np.uint64(0x5851F42D4C957F2D))]
-    r, c = record[common], code[common]
-    spread = (_mix(c) >> np.uint64(20)).astype(np.int64)
-    for number, (low, high) in enumerate(bands(int(reach.max(initial=0)))):
-        if not (reach >= low).any():
-            break
-        k = high + 1
-        blocks = np.zeros(n * k, np.uint64)
-        np.add.at(blocks, r * k + spread % k, _mix(c + np.uint64(1)))
-        owner = np.repeat(np.arange(n), k)
-        block = np.tile(np.arange(k), n)
-        use = (reach[owner] >= low) & (block <= reach[owner])
-        tag = np.uint64(0x9E3779B97F4A7C15) * (np.uint64(number * 4096 + 7) + block.astype(np.uint64))
-        owners.append(owner[use])
-        keys.append((_mix(blocks + tag)[use] & ~np.uint64(15)) | np.uint64(min(number, 14) + 1))
-    keys[0] = keys[0] & ~np.uint64(15)  # the last four bits name the band; 0 for rare words
-    return np.concatenate(owners), np.concatenate(keys), size, rare, sketch
-
-
-def cells(sets: DataFrame, frequent: np.ndarray, partitions: int) -> DataFrame:
-    """Cell keys by grid partition: to, id, size, rare, s0, s1 (segment counts), keys (of that partition)."""
-    shared = sets.sparkSession.sparkContext.broadcast(frequent)
+    low, high = _class(size), _class(size * OF // SHARED)
+    owner = np.append(np.arange(n), np.flatnonzero(high > low))
+    klass = np.append(low, high[high > low])
+    first = np.append(0, np.cumsum(size))[:-1]
+    count = size[owner]
+    view = np.repeat(np.arange(len(owner)), count)
+    at = np.arange(len(view)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[owner], count)
+    segment = (_mix(code[at] ^ (klass[view].astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))) % np.uint64(segments)).astype(np.int64)
+    order = np.lexsort((segment, view))
+    view, segment = view[order], segment[order]
+    new = np.append(True, (view[1:] != view[:-1]) | (segment[1:] != segment[:-1]))
+    number = np.arange(len(view)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(view) else view
+    return view, segment, _mix(segment.astype(np.uint64) + (number.astype(np.uint64) << np.uint64(32)) + np.uint64(1)), owner, klass
+
+
+def occupation(sets: DataFrame, segments: int = SEGMENTS) -> np.ndarray:
+    """Of each segment, eight times the logarithm (base 2) of the records that occupy it, as a byte: a table of fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, total = _Codes(), np.zeros(segments, np.int64)
+        for b in batches:
+            if b.num_rows:
+                record, code = codes.of(b.column(0).to_pylist())
+                total += np.bincount(coordinates(record, code, b.num_rows, segments)[1], minlength=segments)
+        used = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["segment", "n"])
+
+    t = sets.select("words").mapInArrow(count, "segment long, n long").groupBy("segment").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()  # at most a row a segment
+    out = np.zeros(segments, np.uint8)
+    out[t.column("segment").to_numpy()] = np.minimum(np.floor(8 * np.log2(t.column("n").to_numpy())), 255)
+    return out
+
+
+class _Grid:
+    """A batch's records in the order of their coordinates: start of each view, coordinate, whether full, and how many may be missing."""
+
+    def __init__(self, texts: list[str], codes: _Codes, held: np.ndarray, full: int):
+        record, code = codes.of(texts)
+        n = len(texts)
+        self.size = np.bincount(record, minlength=n)
+        view, segment, value, self.owner, self.klass = coordinates(record, code, n, len(held))
+        order = np.lexsort((value, held[segment], view))
+        self.value, self.full = value[order], held[segment[order]] > 8 * np.log2(full)
+        self.view = view[order]
+        self.count = self.size[self.owner]
+        self.start = np.cumsum(self.count) - self.count
+        self.missing = ((OF - SHARED) * self.count) // OF
+        sums = np.minimum(np.bincount(record * SUMS + (code % np.uint64(SUMS)).astype(np.int64), minlength=n * SUMS), 15).reshape(n, 2, 16).astype(np.uint64)
+        self.sketch = (sums << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(view, key, place) of the first coordinates that near records may share."""
+        place = np.arange(len(self.view)) - self.start[self.view]
+        keep = place <= self.missing[self.view]
+        return self.view[keep], self.value[keep], place[keep]
+
+    def extended(self, view: np.ndarray, key: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cells (view, key, place of the last coordinate) divided by each coordinate behind that may be the depth-th shared one."""
+        number = np.maximum(np.minimum(self.missing[view] + depth, self.count[view]) - place - 1, 0)
+        upto = np.cumsum(number)
+        at = 0
+        while at < len(view):
+            base = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, base + KEYS_AT_ONCE, side="right")))
+            n = number[at:end]
+            of = np.repeat(np.arange(at, end), n)
+            behind = place[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+            yield view[of], _mix(key[of] * np.uint64(0x9E3779B97F4A7C15) + self.value[self.start[view[of]] + behind]), behind
+            at = end
+
+
+CELLS = "to int, id long, class int, size int, s0 long, s1 long, keys binary, places binary"
+
+
+def _packed(g: _Grid, ids: np.ndarray, view: np.ndarray, key: np.ndarray, place: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Cells as a row for each record and partition."""
+    to = ((key >> np.uint64(24)) % np.uint64(partitions)).astype(np.int64)
+    order = np.lexsort((view, to))
+    view, key, to, place = view[order], key[order], to[order], place[order].astype(np.int32)
+    first = np.flatnonzero(np.append(True, (view[1:] != view[:-1]) | (to[1:] != to[:-1]))) if len(view) else np.zeros(0, np.int64)
+    ends = np.append(first, len(key))
+    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+    v = view[first]
+    o = g.owner[v]
+    columns = [pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(g.klass[v].astype(np.int32)), pa.array(g.size[o].astype(np.int32)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64)), blob(key), blob(place)]
+    return pa.RecordBatch.from_arrays(columns, names=["to", "id", "class", "size", "s0", "s1", "keys", "places"])
+
+
+def cells(sets: DataFrame, held: np.ndarray, partitions: int, full: int) -> DataFrame:
+    """The first cells of sets (id, words): single coordinates, and those of two where the first is full."""
+    shared = sets.sparkSession.sparkContext.broadcast(held)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
             ids = np.asarray(b.column(0))
-            record, code = codes.of(b.column(1).to_pylist())
-            owner, key, size, rare, sketch = grid_keys(record, code, n, shared.value)
-            to = ((key >> np.uint64(24)) % np.uint64(partitions)).astype(np.int64)
-            order = np.lexsort((owner, to))
-            owner, key, to = owner[order], key[order], to[order]
-            new = np.append(True, (owner[1:] != owner[:-1]) | (to[1:] != to[:-1]))
-            first = np.flatnonzero(new)
-            width_ = KEY_BITS // 8
-            raw = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :width_]).tobytes()
-            offsets = np.append(first, len(key)).astype(np.int32) * width_
-            packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-            o = owner[first]
-            yield pa.record_batch([pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(size[o].astype(np.int32)), pa.array(rare[o].astype(np.int32)), pa.array(sketch[o, 0].view(np.int64)), pa.array(sketch[o, 1].view(np.int64)), packed], names=["to", "id", "size", "rare", "s0", "s1", "keys"])
-
-    return sets.select("id", "words").mapInArrow(emit, "to int, id long, size int, rare int, s0 long, s1 long, keys binary")
+            g = _Grid(b.column(1).to_pylist(), codes, shared.value, full)
+            view, key, place = g.firsts()
+            more = g.full[g.start[view] + place]
+            yield _packed(g, ids, view[~more], key[~more], place[~more], partitions)
+            for part in g.extended(view[more], key[more], place[more], 2):
+                yield _packed(g, ids, *part, partitions)
+
+    return sets.select("id", "words").mapInArrow(emit, CELLS)
+
+
+def divided(sets: DataFrame, full: DataFrame, held: np.ndarray, depth: int, partitions: int) -> DataFrame:
+    """The cells of full ones (id, class, key, place), divided by one more coordinate."""
+    shared = sets.sparkSession.sparkContext.broadcast(held)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = np.asarray(b.column("id"))
+            g = _Grid(b.column("words").to_pylist(), codes, shared.value, 1)
+            lists = b.column("cells")
+            own = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
+            flat = lists.flatten()
+            klass, key, place = (np.asarray(flat.field(i)) for i in range(3))
+            # The view of a record in its own class comes first, the one in the next class behind all of these.
+            second = np.zeros(len(ids), np.int64)
+            second[g.owner[len(ids) :]] = np.arange(len(ids), len(g.owner))
+            view = np.where(klass == g.klass[own], own, second[own])
+            for part in g.extended(view, key.view(np.uint64), place.astype(np.int64), depth):
+                yield _packed(g, ids, *part, partitions)
+
+    of = full.groupBy("id").agg(F.collect_list(F.struct("class", "key", "place")).alias("cells"))  # a record's own cells
+    return sets.select("id", "words").join(of, "id").select("id", "words", "cells").mapInArrow(emit, CELLS)
 
 
 def _nibbles(s: np.ndarray) -> np.ndarray:
@@ -200,32 +268,19 @@ def _nibbles(s: np.ndarray) -> np.ndarray:
     return np.concatenate([b & 15, b >> 4], axis=1)
 
 
-def cell_pairs(ids: np.ndarray, size: np.ndarray, rare: np.ndarray, sketch: np.ndarray, owner: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids (smaller first) of common cells that the embedding can't tell to be too far apart, in blocks."""
-    order = np.lexsort((rare[owner], key))
-    owner, key = owner[order], key[order]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(first, len(key)))
-    keep = count > 1
-    first, count = first[keep], count[keep]
-    place = np.concatenate([np.arange(f + 1, f + c) for f, c in zip(first.tolist(), count.tolist(), strict=True)]) if len(first) else np.zeros(0, np.int64)
-    begin = np.repeat(first, count - 1)
-    # Only members before a place, that is with no more rare words, are its partners; in a band's cell, few enough rare words for the band.
-    band = (key[place] & np.uint64(15)).astype(np.int64) - 1
-    limits = bands(4096)
-    which = np.where(band >= 0, np.minimum(band, 14), 15)
-    low = np.array([b[0] for b in limits[:15]] + [-(1 << 30)])[which]
-    high = np.array([b[1] for b in limits[:14]] + [1 << 30, 1 << 30])[which]
-    s, r = size[owner[place]], rare[owner[place]]
-    # A partner of size x has |x - rare - (s - r)| <= u and u >= low: sizes up to s / 0.7 bound u from above.
-    most = most_different(s, (s * OF) // SHARED) - low - r
-    code = np.cumsum(np.append(True, key[1:] != key[:-1])) * np.int64(1 << 20) + np.minimum(rare[owner], (1 << 20) - 1)
-    stop = np.where(band >= 0, np.searchsorted(code, (code[place] >> 20 << 20) + np.clip(most, -1, (1 << 20) - 1), side="right"), place)
-    number = np.maximum(np.minimum(stop, place) - begin, 0)
+def cell_pairs(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids (smaller first) of the cells (first, count) that the embedding can't tell to be too far apart, in blocks; owners of a cell are sorted by size."""
+    place = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    cell = np.repeat(np.arange(len(first)), count)
+    s = size[owner[place]]
+    # Partners come before a record and have at least 0.7 of its size.
+    wide = np.int64(1) << 32
+    code = cell * wide + s
+    begin = np.searchsorted(code, cell * wide + -(-SHARED * s // OF))
+    number = np.arange(len(place)) - begin
     counts = _nibbles(sketch)
     ones = np.uint64(0x1111111111111111)
     parity = (sketch[:, 0] & ones) | ((sketch[:, 1] & ones) << np.uint64(1))
-    plain = size - rare
     upto = np.cumsum(number)
     at = 0
     while at < len(place):
@@ -235,25 +290,20 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, rare: np.ndarray, sketch: np.n
         total = int(n.sum())
         if total:
             a = np.repeat(owner[place[at:end]], n)
-            off = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-            b = owner[np.repeat(begin[at:end], n) + off]
-            # Segments of odd difference are the cheapest bound; then the band that the pair's own u belongs to.
+            b = owner[place[np.repeat(begin[at:end], n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]]
+            # Segments of odd difference are the cheapest bound.
             t = most_different(size[a], size[b])
-            ok = (np.bitwise_count(parity[a] ^ parity[b]) <= t) & (a != b)
-            lo, hi = np.repeat(low[at:end], n)[ok], np.repeat(high[at:end], n)[ok]
-            a, b, t = a[ok], b[ok], t[ok]
-            u = t - rare[a] - rare[b]
-            ok = (u >= lo) & (u <= hi) & ((np.abs(plain[a] - plain[b]) <= u) | (lo < 0)) & (np.abs(size[a] - size[b]) <= t)
+            ok = (np.bitwise_count(parity[a] ^ parity[b]) <= t) & (ids[a] != ids[b])
             a, b, t = a[ok], b[ok], t[ok]
             x, y = counts[a], counts[b]
-            ok = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int16) <= t
+            ok = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32) <= t
             if ok.any():
                 yield np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
         at = end
 
 
-def candidates(grid: DataFrame, partitions: int) -> DataFrame:
-    """a < b: pairs of ids that share a cell and are near enough by the embedding, maybe repeated."""
+def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
+    """Of cells: pairs of ids a < b near enough by the embedding, maybe repeated (place null), and members (a, class, key b, place) of the cells with more than `full` records."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -261,47 +311,88 @@ def candidates(grid: DataFrame, partitions: int) -> DataFrame:
             return
         t = pa.Table.from_batches(parts).combine_chunks()
         column = lambda c: np.asarray(t.column(c))
-        blobs = t.column("keys").to_pylist()
-        w = KEY_BITS // 8
-        key = np.zeros((sum(map(len, blobs)) // w, 8), np.uint8)
-        key[:, :w] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, w)
-        owner = np.repeat(np.arange(len(blobs)), [len(x) // w for x in blobs])
+        joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        key, place = joined("keys", np.uint64), joined("places", np.int32)
+        owner = np.repeat(np.arange(t.num_rows), np.asarray(pa.compute.binary_length(t.column("keys"))) // 8)
+        size, ids, klass = column("size").astype(np.int64), column("id"), column("class")
+        order = np.lexsort((size[owner], key))
+        owner, key, place = owner[order], key[order], place[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
         sketch = np.stack([column("s0"), column("s1")], axis=1).view(np.uint64)
+        names = ["a", "b", "class", "place"]
+        none = lambda n: pa.nulls(n, pa.int32())
+        if full is not None:
+            member = np.repeat(count > full, count)
+            if member.any():
+                o = owner[member]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(key[member].view(np.int64)), pa.array(klass[o]), pa.array(place[member])], names=names)
+        keep = (count > 1) & (count <= full if full is not None else True)
         seen = np.zeros((0, 2), np.int64)
-        for a, b in cell_pairs(column("id"), column("size").astype(np.int64), column("rare").astype(np.int64), sketch, owner, key.view(np.uint64).ravel()):
+        for a, b in cell_pairs(ids, size, sketch, owner, first[keep], count[keep]):
             seen = np.unique(np.concatenate([seen, np.stack([a, b], axis=1)]), axis=0)
             if len(seen) > PAIRS_AT_ONCE:
-                yield pa.record_batch([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), none(len(seen)), none(len(seen))], names=names)
                 seen = seen[:0]
         if len(seen):
-            yield pa.record_batch([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), none(len(seen)), none(len(seen))], names=names)
+
+    return grid.repartitionById(partitions, F.col("to")).mapInArrow(compare, "a long, b long, class int, place int")
 
-    return grid.repartitionById(partitions, F.col("to")).mapInArrow(compare, "a long, b long")
 
+def blocks(sets: DataFrame, full: DataFrame, held: np.ndarray, partitions: int, size: int) -> DataFrame:
+    """The full cells (id, class, key, place) as cells of two blocks of about `size` records each, one for every two blocks, so that any two records of a cell meet."""
+    shared = sets.sparkSession.sparkContext.broadcast(held)
 
-def near_links(sets: DataFrame) -> DataFrame:
-    """a < b: pairs of ids of sets (id, words) that share at least SHARED / OF of their words."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for b in batches:
+            if b.num_rows:
+                g = _Grid(b.column("words").to_pylist(), codes, shared.value, 1)
+                yield _packed(g, np.asarray(b.column("id")), np.arange(b.num_rows), np.asarray(b.column("key")).view(np.uint64), np.zeros(b.num_rows, np.int64), partitions)
+
+    number = full.groupBy("key").agg(F.ceil(F.count("*") / F.lit(size)).alias("n"))
+    mine = full.join(number, "key").withColumn("i", F.pmod(F.xxhash64("id"), "n"))
+    every = mine.select("id", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
+    pairs = every.select("id", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
+    return pairs.join(sets.select("id", "words"), "id").select("id", "key", "words").mapInArrow(emit, CELLS)
+
+
+def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: int = SEGMENTS) -> DataFrame:
+    """a < b: pairs of ids of sets (id, words) that share at least SHARED / OF of their words. A cell has at most `size` records, or `most` coordinates."""
     spark = sets.sparkSession
     n = sets.count()
-    frequent = frequent_words(sets)
-    partitions = max(1, min(width(spark), math.ceil(n * 40 / KEYS_A_PARTITION)), math.ceil(n * 40 / (4 * KEYS_A_PARTITION)))
-    pairs = candidates(cells(sets, frequent, partitions), partitions).distinct()
+    held = occupation(sets, segments)
+    least = lambda keys: max(1, min(width(spark), ceil(keys / KEYS_A_PARTITION)), ceil(keys / (4 * KEYS_A_PARTITION)))
+    found, to = [], least(n * 40)
+    for depth in range(2, most + 1):
+        grid = cells(sets, held, to, size) if depth == 2 else divided(sets, full, held, depth, to)  # noqa: F821
+        out = stage(compared(grid, to, size), "cells")
+        found.append(out.filter("place is null").select("a", "b"))
+        full = out.filter("place is not null").select(F.col("a").alias("id"), "class", F.col("b").alias("key"), "place")
+        left = full.count()
+        if not left:
+            break
+        to = least(left * 8)
+    else:
+        found.append(compared(blocks(sets, full, held, to, size), to, None).select("a", "b"))
+    pairs = reduce(DataFrame.union, found).distinct()
     a, b = sets.select(F.col("id").alias("a"), F.split("words", " ").alias("wa")), sets.select(F.col("id").alias("b"), F.split("words", " ").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     return pairs.join(a, "a").join(b, "b").filter(both * (OF + SHARED) >= (F.size("wa") + F.size("wb")) * SHARED).select("a", "b")
 
 
-def near_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
+def near_groups(rows: DataFrame, key: str, text: str, **layout: int) -> DataFrame:
     """key, group: every record in a group of at least two; records with equal word sets are linked as well."""
     made = stage(word_sets(rows, key, text), "words")
     sets = stage(made.groupBy("h1", "h2").agg(F.min("words").alias("words"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "sets")
-    group = components(near_links(sets.select("id", "words")))
+    group = components(near_links(sets.select("id", "words"), **layout))
     grouped = sets.join(group.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("group"))
     return made.select(key, "h1", "h2").join(grouped, ["h1", "h2"]).select(key, "group")
 
 
-def near_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
+def near_pairs(rows: DataFrame, key: str, text: str, **layout: int) -> DataFrame:
     """uid_a < uid_b: all pairs of keys within a group."""
-    g = stage(near_groups(rows, key, text), "groups")
+    g = stage(near_groups(rows, key, text, **layout), "groups")
     a, b = g.select(F.col(key).alias("uid_a"), "group"), g.select(F.col(key).alias("uid_b"), "group")
     return a.join(b, "group").filter("uid_a < uid_b").select("uid_a", "uid_b")

@@ -43,21 +43,29 @@ def edited(words, rng, most):
     return w
 
 
-@pytest.mark.parametrize("rare", [0, 3, 128])
-def test_near_captions_by_brute_force(spark, monkeypatch, rare):
-    """Whatever counts as rare, and for short and long captions, no link is lost or added."""
-    monkeypatch.setattr(near_captions, "RARE", rare)
-    rng = random.Random(rare)
+@pytest.mark.parametrize("layout", [{}, {"size": 1, "most": 3}, {"size": 3, "most": 6}, {"size": 4, "most": 2}, {"size": 2, "most": 4, "segments": 50}])
+def test_near_captions_by_brute_force(spark, layout):
+    """Whatever counts as full, however deep cells are divided, and for short and long captions, no link is lost or added."""
+    rng = random.Random(len(layout))
     rows = []
-    for i in range(60):
-        base = rng.sample(VOCAB[:100] if i % 3 else VOCAB, rng.choice([15, 17, 22, 36, 50, 90]))
+    for i in range(12 if layout else 60):
+        base = rng.sample(VOCAB[:100] if i % 3 else VOCAB, rng.choice([15, 17, 22, 36] if layout else [15, 17, 22, 36, 50, 90]))
         rows += [(f"u{i}_{j}", " ".join(edited(base, rng, len(base) // 4))) for j in range(5)]
     rows += [(f"copy{i}", "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen!") for i in range(40)]
     rows += [("wide", "ｏｎｅ TWO three, four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"), ("short", " ".join(VOCAB[:14])), ("short2", " ".join(VOCAB[:14])), ("none", None), ("empty", ""), ("long", " ".join(VOCAB)), ("long2", " ".join(VOCAB[100:]))]
-    got = {tuple(r) for r in near_captions.near_pairs(captions(spark, rows), "uid", "caption").collect()}
+    got = {tuple(r) for r in near_captions.near_pairs(captions(spark, rows), "uid", "caption", **layout).collect()}
     assert got == brute_groups(rows)
 
 
+def test_a_text_of_very_many_words_among_captions(spark):
+    rng = random.Random(12)
+    book = [f"w{i}" for i in range(20000)]
+    rows = [(f"u{i}", " ".join(rng.sample(VOCAB[:60], 30))) for i in range(300)]
+    rows += [("book", " ".join(book)), ("book2", " ".join(book[:19000] + VOCAB)), ("part", " ".join(book[:13000])), ("class", " ".join(book[:120])), ("class2", " ".join(book[:140]))]
+    got = {tuple(r) for r in near_captions.near_pairs(captions(spark, rows), "uid", "caption").collect()}
+    assert got == brute_groups(rows) and {("book", "book2"), ("class", "class2")} <= got
+
+
 def test_no_captions(spark):
     assert near_captions.near_pairs(captions(spark, []), "uid", "caption").count() == 0
     assert near_captions.near_pairs(captions(spark, [("a", None)]), "uid", "caption").count() == 0
