@@ -36,7 +36,6 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +48,13 @@ SHARED, OF = 7, 10
 #: Segments of the embedding; their occupation is the one table that is broadcast, a byte each. And of the sums compared inside a cell.
 SEGMENTS, SUMS = 1 << 20, 32
 #: Records in a cell, above which it is divided, and coordinates of the deepest cells.
-FULL, DEPTH = 64, 6
+FULL, DEPTH = 512, 6
+#: Full cells are marked in a bitmap of fixed size; a cell that shares a bit with one is divided as well, which only adds work.
+MARKS, KEY_BYTES = 1 << 22, 6
 #: Records meet within classes of sizes that end at powers of this.
 CLASS = 128
 #: Keys a partition of the grid is laid out for, and keys and pairs worked on at once.
-KEYS_A_PARTITION, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 20, 1 << 20
+KEYS_A_PARTITION, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 19, 1 << 20
 
 
 def words_of(caption: str) -> list[str]:
@@ -178,14 +179,21 @@ class _Grid:
         sums = np.minimum(np.bincount(record * SUMS + (code % np.uint64(SUMS)).astype(np.int64), minlength=n * SUMS), 15).reshape(n, 2, 16).astype(np.uint64)
         self.sketch = (sums << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
 
-    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(view, key, place) of the first coordinates that near records may share."""
+    def cells(self, depth: int, marks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(view, key, place of the last coordinate) of the cells at a depth: first single coordinates that few records occupy and pairs where many do, then cells marked as full with one more coordinate."""
+        if depth > 2:
+            for view, key, place in self.cells(depth - 1, marks):
+                again = marks[depth - 3][(key % np.uint64(MARKS)).astype(np.int64)]
+                yield from self._extended(view[again], key[again], place[again], depth)
+            return
         place = np.arange(len(self.view)) - self.start[self.view]
-        keep = place <= self.missing[self.view]
-        return self.view[keep], self.value[keep], place[keep]
+        first = place <= self.missing[self.view]
+        once, more = first & ~self.full, first & self.full
+        yield self.view[once], self.value[once] & _KEY, place[once]
+        yield from self._extended(self.view[more], self.value[more], place[more], 2)
 
-    def extended(self, view: np.ndarray, key: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Cells (view, key, place of the last coordinate) divided by each coordinate behind that may be the depth-th shared one."""
+    def _extended(self, view: np.ndarray, key: np.ndarray, place: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cells divided by each coordinate behind that may be the depth-th shared one."""
         number = np.maximum(np.minimum(self.missing[view] + depth, self.count[view]) - place - 1, 0)
         upto = np.cumsum(number)
         at = 0
@@ -195,73 +203,43 @@ class _Grid:
             n = number[at:end]
             of = np.repeat(np.arange(at, end), n)
             behind = place[of] + 1 + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            yield view[of], _mix(key[of] * np.uint64(0x9E3779B97F4A7C15) + self.value[self.start[view[of]] + behind]), behind
+            yield view[of], _mix(key[of] * np.uint64(0x9E3779B97F4A7C15) + self.value[self.start[view[of]] + behind]) & _KEY, behind
             at = end
 
 
-CELLS = "to int, id long, class int, size int, s0 long, s1 long, keys binary, places binary"
+CELLS = "to int, id long, size int, s0 long, s1 long, keys binary"
+_KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
-def _packed(g: _Grid, ids: np.ndarray, view: np.ndarray, key: np.ndarray, place: np.ndarray, partitions: int) -> pa.RecordBatch:
+def _packed(g: _Grid, ids: np.ndarray, view: np.ndarray, key: np.ndarray, partitions: int) -> pa.RecordBatch:
     """Cells as a row for each record and partition."""
     to = ((key >> np.uint64(24)) % np.uint64(partitions)).astype(np.int64)
     order = np.lexsort((view, to))
-    view, key, to, place = view[order], key[order], to[order], place[order].astype(np.int32)
+    view, key, to = view[order], key[order], to[order]
     first = np.flatnonzero(np.append(True, (view[1:] != view[:-1]) | (to[1:] != to[:-1]))) if len(view) else np.zeros(0, np.int64)
-    ends = np.append(first, len(key))
-    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
-    v = view[first]
-    o = g.owner[v]
-    columns = [pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(g.klass[v].astype(np.int32)), pa.array(g.size[o].astype(np.int32)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64)), blob(key), blob(place)]
-    return pa.RecordBatch.from_arrays(columns, names=["to", "id", "class", "size", "s0", "s1", "keys", "places"])
+    raw = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+    ends = (np.append(first, len(key)) * KEY_BYTES).astype(np.int32)
+    o = g.owner[view[first]]
+    columns = [pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(g.size[o].astype(np.int32)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])]
+    return pa.RecordBatch.from_arrays(columns, names=["to", "id", "size", "s0", "s1", "keys"])
 
 
-def cells(sets: DataFrame, held: np.ndarray, partitions: int, full: int) -> DataFrame:
-    """The first cells of sets (id, words): single coordinates, and those of two where the first is full."""
-    shared = sets.sparkSession.sparkContext.broadcast(held)
+def cells(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray], full: int, partitions: int) -> DataFrame:
+    """The cells of sets (id, words) at a depth, by partition."""
+    shared = sets.sparkSession.sparkContext.broadcast((held, marks))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.asarray(b.column(0))
-            g = _Grid(b.column(1).to_pylist(), codes, shared.value, full)
-            view, key, place = g.firsts()
-            more = g.full[g.start[view] + place]
-            yield _packed(g, ids, view[~more], key[~more], place[~more], partitions)
-            for part in g.extended(view[more], key[more], place[more], 2):
-                yield _packed(g, ids, *part, partitions)
+            if b.num_rows:
+                g = _Grid(b.column("words").to_pylist(), codes, shared.value[0], full)
+                for view, key, _ in g.cells(depth, shared.value[1]):
+                    if len(key):
+                        yield _packed(g, np.asarray(b.column("id")), view, key, partitions)
 
     return sets.select("id", "words").mapInArrow(emit, CELLS)
 
 
-def divided(sets: DataFrame, full: DataFrame, held: np.ndarray, depth: int, partitions: int) -> DataFrame:
-    """The cells of full ones (id, class, key, place), divided by one more coordinate."""
-    shared = sets.sparkSession.sparkContext.broadcast(held)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = np.asarray(b.column("id"))
-            g = _Grid(b.column("words").to_pylist(), codes, shared.value, 1)
-            lists = b.column("cells")
-            own = np.repeat(np.arange(len(ids)), np.asarray(lists.value_lengths()))
-            flat = lists.flatten()
-            klass, key, place = (np.asarray(flat.field(i)) for i in range(3))
-            # The view of a record in its own class comes first, the one in the next class behind all of these.
-            second = np.zeros(len(ids), np.int64)
-            second[g.owner[len(ids) :]] = np.arange(len(ids), len(g.owner))
-            view = np.where(klass == g.klass[own], own, second[own])
-            for part in g.extended(view, key.view(np.uint64), place.astype(np.int64), depth):
-                yield _packed(g, ids, *part, partitions)
-
-    of = full.groupBy("id").agg(F.collect_list(F.struct("class", "key", "place")).alias("cells"))  # a record's own cells
-    return sets.select("id", "words").join(of, "id").select("id", "words", "cells").mapInArrow(emit, CELLS)
-
-
 def _nibbles(s: np.ndarray) -> np.ndarray:
     """(n, 2) uint64 to (n, 32) uint8."""
     b = np.ascontiguousarray(s).view(np.uint8).reshape(len(s), 16)
@@ -303,7 +281,7 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, owner: np.
 
 
 def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
-    """Of cells: pairs of ids a < b near enough by the embedding, maybe repeated (place null), and members (a, class, key b, place) of the cells with more than `full` records."""
+    """Of cells: pairs of ids a < b near enough by the embedding, maybe repeated, and the keys (a, b null) of the cells with more than `full` records."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -311,71 +289,78 @@ def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
             return
         t = pa.Table.from_batches(parts).combine_chunks()
         column = lambda c: np.asarray(t.column(c))
-        joined = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        key, place = joined("keys", np.uint64), joined("places", np.int32)
-        owner = np.repeat(np.arange(t.num_rows), np.asarray(pa.compute.binary_length(t.column("keys"))) // 8)
-        size, ids, klass = column("size").astype(np.int64), column("id"), column("class")
-        order = np.lexsort((size[owner], key))
-        owner, key, place = owner[order], key[order], place[order]
+        blobs = t.column("keys").to_pylist()
+        key = np.zeros((sum(map(len, blobs)) // KEY_BYTES, 8), np.uint8)
+        key[:, :KEY_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, KEY_BYTES)
+        key = key.view(np.uint64).ravel()
+        owner = np.repeat(np.arange(t.num_rows), [len(x) // KEY_BYTES for x in blobs])
+        size, ids = column("size").astype(np.int64), column("id")
+        # By cell and size: rows are put in the order of sizes first, so that one stable sort is left.
+        rank = np.empty(t.num_rows, np.int64)
+        rank[np.argsort(size, kind="stable")] = np.arange(t.num_rows)
+        order = np.argsort(rank[owner])
+        order = order[np.argsort(key[order], kind="stable")]
+        owner, key = owner[order], key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(key)))
-        sketch = np.stack([column("s0"), column("s1")], axis=1).view(np.uint64)
-        names = ["a", "b", "class", "place"]
-        none = lambda n: pa.nulls(n, pa.int32())
         if full is not None:
-            member = np.repeat(count > full, count)
-            if member.any():
-                o = owner[member]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[o]), pa.array(key[member].view(np.int64)), pa.array(klass[o]), pa.array(place[member])], names=names)
+            over = key[first[count > full]].view(np.int64)
+            if len(over):
+                yield pa.RecordBatch.from_arrays([pa.array(over), pa.nulls(len(over), pa.int64())], names=["a", "b"])
         keep = (count > 1) & (count <= full if full is not None else True)
+        sketch = np.stack([column("s0"), column("s1")], axis=1).view(np.uint64)
         seen = np.zeros((0, 2), np.int64)
         for a, b in cell_pairs(ids, size, sketch, owner, first[keep], count[keep]):
             seen = np.unique(np.concatenate([seen, np.stack([a, b], axis=1)]), axis=0)
             if len(seen) > PAIRS_AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), none(len(seen)), none(len(seen))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
                 seen = seen[:0]
         if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1]), none(len(seen)), none(len(seen))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
 
-    return grid.repartitionById(partitions, F.col("to")).mapInArrow(compare, "a long, b long, class int, place int")
+    return grid.repartitionById(partitions, F.col("to")).mapInArrow(compare, "a long, b long")
 
 
-def blocks(sets: DataFrame, full: DataFrame, held: np.ndarray, partitions: int, size: int) -> DataFrame:
-    """The full cells (id, class, key, place) as cells of two blocks of about `size` records each, one for every two blocks, so that any two records of a cell meet."""
-    shared = sets.sparkSession.sparkContext.broadcast(held)
+def blocks(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray], full: int, partitions: int) -> DataFrame:
+    """The cells at a depth that are marked as full, as cells of two blocks of about `full` records, one for every two blocks, so that any two records of a cell meet."""
+    shared = sets.sparkSession.sparkContext.broadcast((held, marks))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
         for b in batches:
             if b.num_rows:
-                g = _Grid(b.column("words").to_pylist(), codes, shared.value, 1)
-                yield _packed(g, np.asarray(b.column("id")), np.arange(b.num_rows), np.asarray(b.column("key")).view(np.uint64), np.zeros(b.num_rows, np.int64), partitions)
-
-    number = full.groupBy("key").agg(F.ceil(F.count("*") / F.lit(size)).alias("n"))
-    mine = full.join(number, "key").withColumn("i", F.pmod(F.xxhash64("id"), "n"))
-    every = mine.select("id", "key", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    pairs = every.select("id", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"))
-    return pairs.join(sets.select("id", "words"), "id").select("id", "key", "words").mapInArrow(emit, CELLS)
+                g = _Grid(b.column("words").to_pylist(), codes, shared.value[0], full)
+                for view, key, _ in g.cells(depth, shared.value[1]):
+                    marked = shared.value[1][depth - 2][(key % np.uint64(MARKS)).astype(np.int64)]
+                    o = g.owner[view[marked]]
+                    columns = [pa.array(np.asarray(b.column("id"))[o]), pa.array(key[marked].view(np.int64)), pa.array(g.size[o].astype(np.int32)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "s0", "s1"])
+
+    rows = stage(sets.select("id", "words").mapInArrow(members, "id long, key long, size int, s0 long, s1 long"), "crowds")
+    number = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(full)).alias("n"))
+    mine = rows.join(number, "key").withColumn("i", F.pmod(F.xxhash64("id"), "n"))
+    every = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
+    packed = F.substring(F.unhex(F.lpad(F.hex(pair), 16, "0")), 1, KEY_BYTES)
+    return every.select(F.pmod(pair, F.lit(partitions)).cast("int").alias("to"), "id", "size", "s0", "s1", packed.alias("keys"))
 
 
 def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: int = SEGMENTS) -> DataFrame:
     """a < b: pairs of ids of sets (id, words) that share at least SHARED / OF of their words. A cell has at most `size` records, or `most` coordinates."""
-    spark = sets.sparkSession
     n = sets.count()
     held = occupation(sets, segments)
-    least = lambda keys: max(1, min(width(spark), ceil(keys / KEYS_A_PARTITION)), ceil(keys / (4 * KEYS_A_PARTITION)))
-    found, to = [], least(n * 40)
+    to = max(1, min(width(sets.sparkSession), ceil(n * 40 / KEYS_A_PARTITION)), ceil(n * 40 / (4 * KEYS_A_PARTITION)))
+    found, marks = [], []
     for depth in range(2, most + 1):
-        grid = cells(sets, held, to, size) if depth == 2 else divided(sets, full, held, depth, to)  # noqa: F821
-        out = stage(compared(grid, to, size), "cells")
-        found.append(out.filter("place is null").select("a", "b"))
-        full = out.filter("place is not null").select(F.col("a").alias("id"), "class", F.col("b").alias("key"), "place")
-        left = full.count()
-        if not left:
+        out = stage(compared(cells(sets, held, depth, marks, size, to), to, size), "cells")
+        found.append(out.filter("b is not null"))
+        bits = out.filter("b is null").select(F.pmod("a", F.lit(MARKS)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most MARKS
+        if not len(bits):
             break
-        to = least(left * 8)
+        marks.append(np.zeros(MARKS, bool))
+        marks[-1][bits] = True
     else:
-        found.append(compared(blocks(sets, full, held, to, size), to, None).select("a", "b"))
+        found.append(compared(blocks(sets, held, most, marks, size, to), to, None))
     pairs = reduce(DataFrame.union, found).distinct()
     a, b = sets.select(F.col("id").alias("a"), F.split("words", " ").alias("wa")), sets.select(F.col("id").alias("b"), F.split("words", " ").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
