@@ -54,6 +54,7 @@ MARKS, KEY_BYTES = 1 << 22, 6
 #: Records meet within classes of sizes that end at powers of this.
 CLASS = 128
 #: Keys a partition of the grid is laid out for, and keys and pairs worked on at once.
+MOST_SIZE = (1 << 16) - 1
 KEYS_A_PARTITION, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 19, 1 << 20
 
 
@@ -250,7 +251,8 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, owner: np.
     """Pairs of ids (smaller first) of the cells (first, count) that the embedding can't tell to be too far apart, in blocks; owners of a cell are sorted by size."""
     place = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     cell = np.repeat(np.arange(len(first)), count)
-    s = size[owner[place]]
+    s = np.minimum(size, MOST_SIZE)[owner[place]]
+    most = most_different(size, size)
     # Partners come before a record and have at least 0.7 of its size.
     wide = np.int64(1) << 32
     code = cell * wide + s
@@ -259,6 +261,7 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, owner: np.
     counts = _nibbles(sketch)
     ones = np.uint64(0x1111111111111111)
     parity = (sketch[:, 0] & ones) | ((sketch[:, 1] & ones) << np.uint64(1))
+    of = owner[place].astype(np.int32)
     upto = np.cumsum(number)
     at = 0
     while at < len(place):
@@ -267,12 +270,13 @@ def cell_pairs(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, owner: np.
         n = number[at:end]
         total = int(n.sum())
         if total:
-            a = np.repeat(owner[place[at:end]], n)
-            b = owner[place[np.repeat(begin[at:end], n) + np.arange(total) - np.repeat(np.cumsum(n) - n, n)]]
-            # Segments of odd difference are the cheapest bound.
+            whole = owner[place[at:end]]
+            b = of[np.arange(total) + np.repeat(begin[at:end] - np.cumsum(n) + n, n)]
+            # Segments of odd difference are the cheapest bound, with what a partner of equal size may differ in.
+            near = np.flatnonzero(np.bitwise_count(np.repeat(parity[whole], n) ^ parity[b]) <= np.repeat(np.minimum(most[whole], 64).astype(np.uint8), n))
+            a, b = np.repeat(whole, n)[near], b[near]
+            a, b = (x[ids[a] != ids[b]] for x in (a, b))
             t = most_different(size[a], size[b])
-            ok = (np.bitwise_count(parity[a] ^ parity[b]) <= t) & (ids[a] != ids[b])
-            a, b, t = a[ok], b[ok], t[ok]
             x, y = counts[a], counts[b]
             ok = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32) <= t
             if ok.any():
@@ -295,11 +299,8 @@ def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
         key = key.view(np.uint64).ravel()
         owner = np.repeat(np.arange(t.num_rows), [len(x) // KEY_BYTES for x in blobs])
         size, ids = column("size").astype(np.int64), column("id")
-        # By cell and size: rows are put in the order of sizes first, so that one stable sort is left.
-        rank = np.empty(t.num_rows, np.int64)
-        rank[np.argsort(size, kind="stable")] = np.arange(t.num_rows)
-        order = np.argsort(rank[owner])
-        order = order[np.argsort(key[order], kind="stable")]
+        # By cell and size in one number; sizes from MOST_SIZE on count as equal.
+        order = np.argsort(key << np.uint64(16) | np.minimum(size, MOST_SIZE).astype(np.uint64)[owner])
         owner, key = owner[order], key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(key)))
