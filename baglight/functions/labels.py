@@ -37,7 +37,11 @@ IGNORED = ("nonthreat", "benign", "normal", "background", "bg", "none", "negativ
 GENERIC = ("threat", "object", "item", "prohibited", "prohibiteditem", "dangerous", "target", "")
 # Endings of mask files' names.
 MASK_SUFFIXES = ("_mask", "-mask", "_seg", "-seg", "_gt", "_label", "_segmentation", "_bb", "_bbox")
-CLUTTER = ("limited", "medium", "heavy", "extreme")
+# Words for how cluttered a bag is, and their levels.
+CLUTTER: dict[str, int] = {
+    "limited": 0, "light": 0, "low": 0, "minimal": 0, "medium": 1, "moderate": 1,
+    "heavy": 2, "heavily": 2, "high": 2, "extreme": 3, "extremely": 3,
+}
 
 
 def label_class(raw: Column) -> Column:
@@ -103,14 +107,10 @@ def safe_name(text: Column) -> Column:
 
 
 def clutter_level(caption: Column) -> Column:
-    """0 to 3 by the clutter word of a caption, -1 where it has none."""
-    word = F.lower(F.regexp_extract(caption, r"(?i)\b(limited|medium|heavy|extreme)\b[\w\s-]{0,15}clutter", 1))
-    back = F.lower(F.regexp_extract(caption, r"(?i)clutter\s+(limited|medium|heavy|extreme)\b", 1))
-    found = F.when(word != "", word).otherwise(back)
-    level = F.lit(-1)
-    for i, w in enumerate(CLUTTER):
-        level = F.when(found == w, F.lit(i)).otherwise(level)
-    return level
+    """0 to 3 by the first word of a caption that says how cluttered the bag is, -1 where it has none."""
+    word = F.lower(F.regexp_extract(caption, rf"(?i)\b({'|'.join(CLUTTER)})\b[\w\s-]{{0,15}}clutter", 1))
+    table = F.create_map(*[x for k, v in CLUTTER.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(table, word), F.lit(-1))
 
 
 def duration(seconds: Column) -> Column:

@@ -43,8 +43,8 @@ def mean_ap(preds: DataFrame) -> DataFrame:
     return average_precision(preds, ["cls"]).agg(F.avg("ap").alias("map"))
 
 
-def thresholds(preds: DataFrame) -> DataFrame:
-    """cls, thr, f1: the first of GRID thresholds from 0.02 to 0.98 with the best F1; 0.5 without positives.
+def thresholds(preds: DataFrame, by: tuple[str, ...] = ("cls",)) -> DataFrame:
+    """by, thr, f1: the first of GRID thresholds from 0.02 to 0.98 with the best F1; 0.5 without positives.
 
     A row passes all grid points up to its score, so it is counted once at the last of them and summed from above:
     the grid never multiplies the rows.
@@ -53,14 +53,14 @@ def thresholds(preds: DataFrame) -> DataFrame:
     # The grid point is compared with the score as the double it is.
     at = F.when(0.02 + (at + 1) * 0.02 <= F.col("p"), F.least(at + 1, F.lit(GRID - 1))).when(0.02 + at * 0.02 > F.col("p"), at - 1).otherwise(at)
     rows = preds.filter("y is not null and p is not null").withColumn("i", F.greatest(at, F.lit(-1)).cast("int"))
-    cell = rows.groupBy("cls", "i").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
-    grid = rows.select("cls").distinct().select("cls", F.explode(F.sequence(F.lit(-1), F.lit(GRID - 1))).alias("i"))
-    up = Window.partitionBy("cls").orderBy(F.desc("i"))
-    every = Window.partitionBy("cls")
-    swept = grid.join(cell, ["cls", "i"], "left").fillna(0).withColumn("pos", F.sum("tp").over(every)).withColumn("tp", F.sum("tp").over(up)).withColumn("n", F.sum("n").over(up)).filter("i >= 0")
+    cell = rows.groupBy(*by, "i").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
+    grid = rows.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(-1), F.lit(GRID - 1))).alias("i"))
+    up = Window.partitionBy(*by).orderBy(F.desc("i"))
+    every = Window.partitionBy(*by)
+    swept = grid.join(cell, [*by, "i"], "left").fillna(0).withColumn("pos", F.sum("tp").over(every)).withColumn("tp", F.sum("tp").over(up)).withColumn("n", F.sum("n").over(up)).filter("i >= 0")
     f1 = F.round(2 * F.col("tp") / F.greatest(F.col("n") + F.col("pos"), F.lit(1)), 9)
-    best = swept.withColumn("f1", f1).groupBy("cls").agg(F.max(F.struct("f1", -F.col("i"))).alias("b"), F.max("pos").alias("pos"))
-    return best.select("cls", F.when(F.col("pos") > 0, F.round(0.02 - F.col("b.col2") * 0.02, 6)).otherwise(0.5).alias("thr"), F.col("b.f1").alias("f1"))
+    best = swept.withColumn("f1", f1).groupBy(*by).agg(F.max(F.struct("f1", -F.col("i"))).alias("b"), F.max("pos").alias("pos"))
+    return best.select(*by, F.when(F.col("pos") > 0, F.round(0.02 - F.col("b.col2") * 0.02, 6)).otherwise(0.5).alias("thr"), F.col("b.f1").alias("f1"))
 
 
 def recall_thresholds(preds: DataFrame, recall: float = 0.95) -> DataFrame:
@@ -72,13 +72,13 @@ def recall_thresholds(preds: DataFrame, recall: float = 0.95) -> DataFrame:
     return step.join(count, "cls").filter(F.col("upto") > k).groupBy("cls").agg(F.min("p").alias("thr"))
 
 
-def f1_report(preds: DataFrame, thr: DataFrame) -> DataFrame:
-    """One row: macro_f1 over classes with positives, micro_f1, micro_p, micro_r at the classes' thresholds."""
+def f1_report(preds: DataFrame, thr: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (a row of each `by`): macro_f1 over classes with positives, micro_f1, micro_p, micro_r at the classes' thresholds."""
     hit = (F.col("p") >= F.col("thr")).cast("int")
-    per = preds.join(F.broadcast(thr.select("cls", "thr")), "cls").groupBy("cls").agg(F.sum(hit * F.col("y")).alias("tp"), F.sum(hit).alias("called"), F.sum("y").alias("pos"))
+    per = preds.join(F.broadcast(thr.select(*by, "cls", "thr")), [*by, "cls"]).groupBy(*by, "cls").agg(F.sum(hit * F.col("y")).alias("tp"), F.sum(hit).alias("called"), F.sum("y").alias("pos"))
     f1 = 2 * F.col("tp") / F.greatest(F.col("called") + F.col("pos"), F.lit(1))
     tp, called, pos = F.sum("tp"), F.sum("called"), F.sum("pos")
-    return per.agg(
+    return per.groupBy(*by).agg(
         F.avg(F.when(F.col("pos") > 0, f1)).alias("macro_f1"),
         (2 * tp / F.greatest(called + pos, F.lit(1))).alias("micro_f1"),
         (tp / F.greatest(called, F.lit(1))).alias("micro_p"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from baglight.functions.stage import drop_stage, stage, width
 from baglight.operators.graph import components
+from baglight.operators.patches import hashed
 from baglight.operators.rows import running_sum
 
 #: Signatures filed under one block value, above which the value is divided.
@@ -186,9 +187,9 @@ def select_part(scans: DataFrame, part: str, excluded: list[int]) -> DataFrame:
 
 
 def subset(scans: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """A share of scans (uid, labels) that keeps the share of every pattern of labels: within the patterns in hash order, each row at which the running share passes a whole number."""
-    pattern = F.coalesce(F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("labels")), lambda c: c.cast("string"))), F.lit("?"))
-    order = [F.col("__pattern"), F.xxhash64(F.lit(seed), "uid"), F.col("uid")]
+    """A share of scans (uid, labels) that keeps the share of every pattern of labels: within the patterns in hash order, each row at which the running share passes a whole number. Null labels are none, and null ids are passed over."""
+    pattern = F.concat_ws(",", F.transform(F.array_sort(F.array_distinct("labels")), lambda c: c.cast("string")))
+    order = [F.col("__pattern"), hashed(seed, "uid"), F.col("uid")]
     summed = running_sum(scans.withColumn("__pattern", pattern), order, F.lit(1).cast("long"), "__upto")
     at = lambda c: F.floor(c * F.lit(float(fraction)))
     return summed.filter(at(F.col("__upto")) > at(F.col("__upto") - 1)).drop("__pattern", "__upto")
@@ -204,7 +205,7 @@ def grouped_split(scans: DataFrame, fraction: float, seed: int = 0) -> DataFrame
     rows = long.groupBy("label").agg(F.count("*").alias("rows"))
     rare = long.distinct().join(rows, "label").groupBy("group").agg(F.min_by("label", F.struct("rows", "label")).alias("label"))
     groups = scans.groupBy("group").agg(F.count("*").alias("n")).join(rare, "group")
-    order = [-F.floor(F.log2("n")), F.col("label"), F.xxhash64(F.lit(seed), F.col("group").cast("string")), F.col("group")]
+    order = [-F.floor(F.log2("n")), F.col("label"), hashed(seed, "group"), F.col("group")]
     total = scans.count()
     summed = running_sum(groups, order, F.lit(1).cast("long"), "upto")
     at = lambda c: F.floor(c * F.lit(float(fraction)) + 0.5)

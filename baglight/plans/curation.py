@@ -204,6 +204,15 @@ select sig.uid, comp.g as "group" from sig join of using (d, a) join comp using
 select part, count(*) as scans, sum((n > 0)::int)::bigint as threat, sum((n = 0)::int)::bigint as clean, sum((n > 1)::int)::bigint as multi from n group by part""",
     "split_class_report": f"""with {SCANS}, l as (select distinct part, uid, unnest(labels) as cls from scans), g as (select part, c as cls from (select distinct part from scans), (select unnest(range(20)) as c))
 select g.part, g.cls::int as cls, count(l.uid) as positives from g left join l on l.part = g.part and l.cls = g.cls group by all""",
+    "train_subset": f"""with {SCANS}, t as (select uid, coalesce(array_to_string(list_sort(list_distinct(labels)), ','), '') as pattern from scans where part = 'train'),
+n as (select uid, row_number() over (order by pattern, md5('0:' || uid), uid) as i from t) select uid from n where floor(i * 0.4e0) > floor((i - 1) * 0.4e0)""",
+    "grouped_split": f"""with {SCANS}, s as (select uid, case when dup_group >= 0 then dup_group::varchar else uid end as grp, labels from scans),
+l as (select distinct uid, grp, coalesce(label, -1) as label from (select uid, grp, unnest(case when labels is null or len(labels) = 0 then [null] else labels end) as label from s)),
+r as (select label, count(*) as n from l group by label), rare as (select grp, arg_min(label, (n, label)) as label from l join r using (label) group by grp),
+g as (select grp, count(*) as n, any_value(label) as label from s join rare using (grp) group by grp),
+o as (select *, row_number() over (order by -floor(log2(n)), label, md5('0:' || grp), grp) as i from g),
+side as (select grp, case when floor(i * 0.15e0 + 0.5e0) > floor((i - 1) * 0.15e0 + 0.5e0) and n <= 0.15e0 * (select count(*) from s) then 'val' else 'train' end as side from o)
+select uid, side from s join side using (grp)""",
     "part_select": f"with {SCANS} select uid from scans where part = 'train' and cache_ok and not coalesce(list_has_any(labels, [8, 11]), false)",
     "bbox_vote": f"with {BOXES} select 'xywh' as layout, count(*) as n, sum((x2 - x1 < x1 or y2 - y1 < y1)::int)::bigint as wrong_order, "
     + "round(avg({a}), 6) as iou_xyxy, 1e0 as iou_xywh from gt".format(
@@ -226,8 +235,8 @@ r as (select folder_id, {_STEM.format(c='seg_path')} as stem, min(seg_path) as s
     "safe_uids": """with n as (select c_custkey, regexp_replace(regexp_replace(c_mktsegment, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g') as name from customer),
 o as (select c_custkey, case when name = '' then 'x' else name end as name from n), k as (select *, row_number() over (partition by name order by c_custkey) as i from o)
 select c_custkey, case when i = 1 then name else name || '_' || i end as uid from k""",
-    "caption_strata": f"""with {INDEX}, w as (select lower(coalesce(nullif(regexp_extract(caption, '(?i)\\b(limited|medium|heavy|extreme)\\b[\\w\\s-]{{0,15}}clutter', 1), ''), regexp_extract(caption, '(?i)clutter\\s+(limited|medium|heavy|extreme)\\b', 1))) as w from idx)
-select case w when 'limited' then 0 when 'medium' then 1 when 'heavy' then 2 when 'extreme' then 3 else -1 end as level, count(*) as n from w group by level""",
+    "caption_strata": f"""with {INDEX}, w as (select lower(coalesce(nullif(regexp_extract(caption, '(?i)\\b(limited|light|low|minimal|medium|moderate|heavy|heavily|high|extreme|extremely)\\b[\\w\\s-]{{0,15}}clutter', 1), ''), '')) as w from idx)
+select case when w in ('limited', 'light', 'low', 'minimal') then 0 when w in ('medium', 'moderate') then 1 when w in ('heavy', 'heavily', 'high') then 2 when w in ('extreme', 'extremely') then 3 else -1 end as level, count(*) as n from w group by level""",
     "caption_words": f"with {INDEX} select w as word, round(avg(contains(lower(coalesce(caption, '')), w)::int), 6) as share from idx, (select unnest({WORDS}) as w) group by w",
     "split_eda": f"""with {INDEX}, n as (select split, coalesce(n_labels, 0) as n from idx) select split, count(*) as scans, sum((n > 0)::int)::bigint as threat, sum((n > 1)::int)::bigint as multi, sum((n = 0)::int)::bigint as clean,
   round(sum((n = 0)::int) * 100 / count(*)::double, 6) as clean_pct from n group by split""",

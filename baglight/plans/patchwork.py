@@ -78,6 +78,15 @@ reg2 as (select uid, id, max(v) as peak, min(c) as x1, min(r) as y1, max(c) + 1
 every as (select * from reg1 union all select * from reg2),
 prop as (select uid, row_number() over (partition by uid order by peak desc, x1, y1, x2, y2) - 1 as k, peak, x1, y1, x2, y2 from every qualify k < 3)"""
 
+_U = "(('0x' || substr(md5('0:' || d.uid || ':' || d.k || ':{}'), 1, 8))::bigint / 4294967296e0)"
+_IOB = _IOA.replace("a.", "#.").replace("b.", "a.").replace("#.", "b.")
+_BACKGROUND = BOXES + f""",
+draw as (select uid, img_w as w, img_h as h, unnest(range(90)) as k from idx where img_w > 64 and img_h > 64),
+sized as (select d.uid, d.k, d.w, d.h, least([32e0, 48e0, 64e0][floor({_U.format('s')} * 3)::int + 1], d.w, d.h) as side from draw d),
+made as (select d.uid, d.k, d.side, floor({_U.format('x')} * (d.w - d.side)) as x1, floor({_U.format('y')} * (d.h - d.side)) as y1 from sized d),
+spot as (select uid, k, x1, y1, x1 + side as x2, y1 + side as y2 from made),
+rand as (select a.* from spot a where not exists (select 1 from gt b where b.uid = a.uid and ({_IOA} > 0.1 or {_IOB} > 0.1)) qualify row_number() over (partition by a.uid order by a.k) <= 3)"""
+
 ORACLES = {
     "map_proposals": f"with recursive {_MAPS} select uid, k, round(peak, 6) as peak, x1, y1, x2, y2 from prop",
     "mask_loss": f"""with {CELLS}, q as (select 1 / (1 + exp(-v)) as p, g from cells), c as (select least(greatest(p, 1e-8), 1 - 1e-8) as c, p, g from q)
@@ -95,7 +104,11 @@ j as (select case when json_valid(payload) then payload::json end as j from f),
 k as (select j, json_type(j, '$.shapes') as s, json_type(j, '$.annotations') as a, json_type(j, '$.images') as i, json_exists(j, '$.imagePath') or json_exists(j, '$.version') as p from j)
 select case when j is null then null when s = 'ARRAY' and p then 'labelme' when a = 'ARRAY' and i = 'ARRAY' then 'coco' else 'other' end as style, count(*) as n from k group by style""",
     "donors": f"with {BOXES} select a.uid, a.k, a.cls from gt a where not exists (select 1 from gt b where b.uid = a.uid and b.k <> a.k and {_IOA} > 0.3)",
-    "hard_negatives": f"""with {BOXES}, f as (select a.uid, a.k from det a where not exists (select 1 from gt b where b.uid = a.uid and ({_IOA} > 0.1 or {_IOA.replace('a.', '#.').replace('b.', 'a.').replace('#.', 'b.')} > 0.1)))
+    "donors_capped": f"""with {BOXES} select a.uid, a.k, a.cls from gt a where not exists (select 1 from gt b where b.uid = a.uid and b.k <> a.k and {_IOA} > 0.3)
+qualify row_number() over (partition by a.cls order by md5('0:' || a.uid || ':' || a.k), a.uid, a.k) <= 50""",
+    "bank_sample": f"with {CELLS} select uid, r, c from cells where g = 0 qualify row_number() over (partition by uid order by md5('0:' || uid || ':' || r || ':' || c), uid, r, c) <= 16",
+    "background_boxes": f"""with {_BACKGROUND} select uid, k, x1, y1, x2, y2 from rand""",
+    "hard_negatives": f"""with {BOXES}, f as (select a.uid, a.k from det a where not exists (select 1 from gt b where b.uid = a.uid and {_IOA} > 0.1))
 select uid, k from f qualify row_number() over (partition by uid order by k) <= 3""",
     "result_row": f"""{_BOOT}, {_AP.format(by='model, cls', w='1', rows='models').replace('step as', 'pstep as').replace('from step', 'from pstep').replace('cum as', 'pcum as').replace('from cum', 'from pcum').replace('ap as (', 'pap as (', 1)},
 r as (select model, cls, y, rank() over (partition by model, cls order by p) + (count(*) over (partition by model, cls, p) - 1) / 2e0 as rk from models),
