@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where none is set, as in tests, one of our own."""
+    """The folder of spark.checkpoint.dir. Only where none is set and all runs on this machine, as in tests, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="baglight-")
         atexit.register(shutil.rmtree, made, True)
         spark.sparkContext.setCheckpointDir(f"file://{made}")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from baglight.functions.curve import hilbert_code
-from baglight.functions.stage import stage, stage_path, width
+from baglight.functions.stage import stage_path, width
 from baglight.operators.rows import running_sum
 
 STORED = "uid string, img_path string, seg_path string, cache_ok boolean, file_id long"
@@ -57,11 +57,11 @@ def newest_records(files: DataFrame) -> DataFrame:
     return complete_records(files).withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "line")
 
 
-def digest(rows: DataFrame) -> tuple:
-    """Count and two order-free digests of all columns."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(rows.columns)])
-    r = rows.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).head()
-    return r.n, r.x or 0, r.s or 0
+def digest(rows: DataFrame, line: str) -> tuple:
+    """Bytes, count and two order-free digests of a table of lines."""
+    h = F.xxhash64(line)
+    r = rows.agg(F.sum(F.octet_length(line) + 1).alias("b"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")).head()
+    return r.b or 0, r.n, r.x or 0, r.s or 0
 
 
 @dataclass
@@ -86,25 +86,26 @@ def compact(files: DataFrame, target_bytes: int, max_bytes: int, path: str | Non
         F.coalesce(number.try_cast("int"), F.lit(0)) % 65536,
         F.pmod(F.coalesce(day, F.lit(0)), F.lit(65536)),
     )
-    rest = stage(running_sum(line.withColumn("code", code), [F.col("code"), F.col("uid")], F.col("bytes"), "upto"), "placed")
-    total = rest.agg(F.sum("bytes").alias("b")).head()
-    if not total.b:
+    # The line is all that goes on: the columns are in it.
+    rest = running_sum(line.select("uid", code.alias("code"), "line", "bytes"), [F.col("code"), F.col("uid")], F.col("bytes"), "upto")
+    before = digest(rest._rows, "line")
+    total = before[0]
+    if not total:
         return Store(path, spark.createDataFrame([], STORED), 0)
     # A file is filled up to `full` and takes the record that crosses it; longer records lie alone.
-    count = -(-total.b // target_bytes)
-    full = -(-total.b // count)
+    count = -(-total // target_bytes)
+    full = -(-total // count)
     long = F.col("bytes") > max_bytes - full
     file = F.when(long, F.lit(count) + F.col("upto")).otherwise(F.floor((F.col("upto") - 1) / full))
     tasks = max(1, min(count, 4 * width(spark)))
-    placed = rest.withColumn("file", file).withColumn("to", F.least(F.floor(F.col("upto") * tasks / (total.b + 1)), F.lit(tasks - 1)).cast("int"))
+    placed = rest.withColumn("file", file).withColumn("to", F.least(F.floor(F.col("upto") * tasks / (total + 1)), F.lit(tasks - 1)).cast("int"))
     placed = placed.withColumn("to", F.when(long, F.col("to")).otherwise(F.floor(F.col("file") * tasks / count).cast("int")))
     one_task = placed.repartitionById(tasks, F.col("to")).sortWithinPartitions("file", "code", "uid")
     one_task.select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
-    rows = spark.read.schema(STORED).json(path).select(*stored)
-    before, after = digest(rest.select(*stored)), digest(rows)
+    after = digest(spark.read.schema("value string").text(path), "value")
     if before != after:
         raise RuntimeError(f"the store differs from its source: {before} and {after}")
-    return Store(path, rows, count)
+    return Store(path, spark.read.schema(STORED).json(path).select(*stored), count)
 
 
 def file_sizes(store: Store) -> DataFrame:

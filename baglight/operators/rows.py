@@ -37,4 +37,6 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, name: str, pa
     starts = sums.withColumn("__start", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
     within = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = laid.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.sum("__v").over(within))
-    return out.select(*cols, name)
+    out = out.select(*cols, name)
+    out._rows = laid.select(*cols)  # the rows without the sum, as staged, for a caller that needs them again
+    return out
