@@ -4,13 +4,13 @@ import numpy as np
 import pytest
 
 from baglight.operators import patches, pixels
-from baglight.operators.objects import extract_objects, objects_of
+from baglight.operators.objects import extract_objects, flatten
 from baglight.plans import registry
 from baglight.streaming.incremental import process_new
 
 
 def found(root):
-    return [(name, f.box, f.raw) for name, _, f in objects_of(root)]
+    return [(name, box, raw) for _, name, _, box, raw, _, _ in flatten([json.dumps(root).encode()])]
 
 
 @pytest.mark.parametrize(
@@ -35,6 +35,23 @@ def test_dialects(root, want):
     assert found(root) == want
 
 
+def test_many_texts_at_once():
+    a = {"categories": [{"id": 1, "name": "saw"}], "annotations": [{"category_id": 1, "bbox": [1, 2, 3, 4], "segmentation": [[0, 0, 1, 0, 1, 1], [5, 5]]}, {"category_id": 9, "bbox": [0, 0, 1, 1]}]}
+    b = {"label": "out", "list": [{"points": [1, 2, 3, 4]}, {"points": [[1, 2], ["x", 4]]}, {"cx": 5, "cy": 5, "w": 2, "h": 4}, {"bndbox": {"XMin": 1, "y_min": 2, "xmax": 3, "ymax": 4}}]}
+    c = {"v": {"label": "mine", "list": [{"points": [1, 2, 3, 4]}]}, "shapes": [{"label": "m", "shape_type": "mask", "mask": "zz", "points": [[0, 0], [2, 3]]}]}
+    texts = [json.dumps(a), "{", "", json.dumps(b), "7", json.dumps(c), json.dumps({"bbox": [1, 2, 3]}), json.dumps({"shape_attributes": {"name": "blob"}, "bbox": [1, 2, 3, 4]})]
+    got = flatten([t.encode() for t in texts])
+    assert got == [
+        (0, "saw", None, [1, 2, 4, 6], None, [[[0, 0], [1, 0], [1, 1]]], None),
+        (0, "9", None, [0, 0, 1, 1], None, [], None),
+        (3, None, None, [1, 2, 3, 4], None, [], None),
+        (3, None, None, [4, 3, 6, 7], None, [], None),
+        (3, None, None, [1, 2, 3, 4], None, [], None),
+        (5, "mine", None, [1, 2, 3, 4], None, [], None),
+        (5, "m", "mask", [0, 0, 2, 3], None, [], "zz"),
+    ]
+
+
 def test_depth_is_limited():
     deep = {"bbox": [0, 0, 1, 1]}
     for _ in range(13):
