@@ -14,8 +14,8 @@ share at least 0.7 of all their words.
   FULL records is divided by the next coordinate, as often as needed (DEPTH), wherever its records
   are. What is still full then is a crowd that agrees in its DEPTH rarest shared coordinates; its
   pairs are compared in blocks of FULL records spread over the tasks.
-* Range join. Inside a cell, records are sorted by size, and each is compared with those of sizes
-  within reach only, by the Manhattan distance of counts summed to 32 segments.
+* Range join. Inside a cell, records are sorted by size, and each is compared with those before it
+  by the Manhattan distance of counts summed to 32 segments, after the parities of sums to 64.
 * Exact check of what is left, on the words themselves. Links are then closed to groups.
 
 No pair at or above the threshold is lost, at any number of rows, and no cell grows with the rows.
@@ -36,6 +36,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ MARKS, KEY_BYTES = 1 << 22, 6
 CLASS = 128
 #: Keys a partition of the grid is laid out for, and keys and pairs worked on at once.
 MOST_SIZE = (1 << 16) - 1
-KEYS_A_PARTITION, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 19, 1 << 20
+KEYS_A_PARTITION, KEYS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 1 << 19, 1 << 18
 
 
 def words_of(caption: str) -> list[str]:
@@ -77,22 +78,17 @@ class _Codes:
     def __init__(self):
         self.known: dict[str, int] = {}
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(record, code) of each word of the texts, words parted by blanks."""
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(record, code) of each word of the texts, words parted by blanks. Each different word is looked at once."""
         import xxhash
 
-        known, out, sizes = self.known, [], []
+        lists = pa.compute.split_pattern(texts, " ")
+        found = lists.flatten().dictionary_encode()
+        known = self.known
         if len(known) > 1 << 20:
             known.clear()
-        for t in texts:
-            ws = t.split(" ")
-            sizes.append(len(ws))
-            for w in ws:
-                c = known.get(w)
-                if c is None:
-                    c = known[w] = xxhash.xxh64_intdigest(w)
-                out.append(c)
-        return np.repeat(np.arange(len(texts)), sizes), np.array(out, np.uint64)
+        of = [known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in found.dictionary.to_pylist()]
+        return np.repeat(np.arange(len(texts)), np.asarray(lists.value_lengths())), np.array(of, np.uint64)[np.asarray(found.indices)]
 
 
 def word_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -152,7 +148,7 @@ def occupation(sets: DataFrame, segments: int = SEGMENTS) -> np.ndarray:
         codes, total = _Codes(), np.zeros(segments, np.int64)
         for b in batches:
             if b.num_rows:
-                record, code = codes.of(b.column(0).to_pylist())
+                record, code = codes.of(b.column(0))
                 total += np.bincount(coordinates(record, code, b.num_rows, segments)[1], minlength=segments)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], names=["segment", "n"])
@@ -166,7 +162,7 @@ def occupation(sets: DataFrame, segments: int = SEGMENTS) -> np.ndarray:
 class _Grid:
     """A batch's records in the order of their coordinates: start of each view, coordinate, whether full, and how many may be missing."""
 
-    def __init__(self, texts: list[str], codes: _Codes, held: np.ndarray, full: int):
+    def __init__(self, texts: pa.Array, codes: _Codes, held: np.ndarray, full: int):
         record, code = codes.of(texts)
         n = len(texts)
         self.size = np.bincount(record, minlength=n)
@@ -179,6 +175,9 @@ class _Grid:
         self.missing = ((OF - SHARED) * self.count) // OF
         sums = np.minimum(np.bincount(record * SUMS + (code % np.uint64(SUMS)).astype(np.int64), minlength=n * SUMS), 15).reshape(n, 2, 16).astype(np.uint64)
         self.sketch = (sums << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64)
+        # Whether the counts summed to 64 segments are odd, a bit each.
+        odd = np.bincount(record * 64 + (code >> np.uint64(32)).astype(np.int64) % 64, minlength=n * 64).reshape(n, 64).astype(np.uint64) & np.uint64(1)
+        self.parity = (odd << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def cells(self, depth: int, marks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(view, key, place of the last coordinate) of the cells at a depth: first single coordinates that few records occupy and pairs where many do, then cells marked as full with one more coordinate."""
@@ -208,7 +207,7 @@ class _Grid:
             at = end
 
 
-CELLS = "to int, id long, size int, s0 long, s1 long, keys binary"
+CELLS = "to int, id long, size int, parity long, s0 long, s1 long, keys binary"
 _KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
@@ -221,8 +220,8 @@ def _packed(g: _Grid, ids: np.ndarray, view: np.ndarray, key: np.ndarray, partit
     raw = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
     ends = (np.append(first, len(key)) * KEY_BYTES).astype(np.int32)
     o = g.owner[view[first]]
-    columns = [pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(g.size[o].astype(np.int32)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])]
-    return pa.RecordBatch.from_arrays(columns, names=["to", "id", "size", "s0", "s1", "keys"])
+    columns = [pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(g.size[o].astype(np.int32)), pa.array(g.parity[o].view(np.int64)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])]
+    return pa.RecordBatch.from_arrays(columns, names=["to", "id", "size", "parity", "s0", "s1", "keys"])
 
 
 def cells(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray], full: int, partitions: int) -> DataFrame:
@@ -233,7 +232,7 @@ def cells(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray]
         codes = _Codes()
         for b in batches:
             if b.num_rows:
-                g = _Grid(b.column("words").to_pylist(), codes, shared.value[0], full)
+                g = _Grid(b.column("words"), codes, shared.value[0], full)
                 for view, key, _ in g.cells(depth, shared.value[1]):
                     if len(key):
                         yield _packed(g, np.asarray(b.column("id")), view, key, partitions)
@@ -247,41 +246,37 @@ def _nibbles(s: np.ndarray) -> np.ndarray:
     return np.concatenate([b & 15, b >> 4], axis=1)
 
 
-def cell_pairs(ids: np.ndarray, size: np.ndarray, sketch: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids (smaller first) of the cells (first, count) that the embedding can't tell to be too far apart, in blocks; owners of a cell are sorted by size."""
-    place = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    cell = np.repeat(np.arange(len(first)), count)
-    s = np.minimum(size, MOST_SIZE)[owner[place]]
-    most = most_different(size, size)
-    # Partners come before a record and have at least 0.7 of its size.
-    wide = np.int64(1) << 32
-    code = cell * wide + s
-    begin = np.searchsorted(code, cell * wide + -(-SHARED * s // OF))
-    number = np.arange(len(place)) - begin
+def cell_pairs(ids: np.ndarray, size: np.ndarray, parity: np.ndarray, sketch: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids (smaller first) of the cells (first, count) that the embedding can't tell to be too far apart, in blocks; owners of a cell are sorted by size.
+
+    Cells of equal count are compared together, each as a square: that reads memory in order.
+    """
     counts = _nibbles(sketch)
-    ones = np.uint64(0x1111111111111111)
-    parity = (sketch[:, 0] & ones) | ((sketch[:, 1] & ones) << np.uint64(1))
-    of = owner[place].astype(np.int32)
-    upto = np.cumsum(number)
-    at = 0
-    while at < len(place):
-        base = upto[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(upto, base + PAIRS_AT_ONCE, side="right")))
-        n = number[at:end]
-        total = int(n.sum())
-        if total:
-            whole = owner[place[at:end]]
-            b = of[np.arange(total) + np.repeat(begin[at:end] - np.cumsum(n) + n, n)]
-            # Segments of odd difference are the cheapest bound, with what a partner of equal size may differ in.
-            near = np.flatnonzero(np.bitwise_count(np.repeat(parity[whole], n) ^ parity[b]) <= np.repeat(np.minimum(most[whole], 64).astype(np.uint8), n))
-            a, b = np.repeat(whole, n)[near], b[near]
-            a, b = (x[ids[a] != ids[b]] for x in (a, b))
+    # What a partner of equal size may differ in; smaller ones may in less. No two parities differ in more than 64 bits.
+    most = np.minimum(most_different(size, size), 64).astype(np.uint8)
+    for c in np.unique(count).tolist():
+        starts = first[count == c]
+        step = max(1, PAIRS_AT_ONCE // (c * c))
+        for at in range(0, len(starts), step):
+            o = owner[starts[at : at + step, None] + np.arange(c)]
+            p = parity[o]
+            # Segments of odd difference are the cheapest bound.
+            cell, place = np.divmod(np.flatnonzero(np.bitwise_count(p[:, :, None] ^ p[:, None, :]) <= most[o][:, :, None]), c * c)
+            i, j = np.divmod(place, c)
+            later = i > j
+            a, b = o[cell[later], i[later]], o[cell[later], j[later]]
             t = most_different(size[a], size[b])
+            ok = (size[a] - size[b] <= t) & (ids[a] != ids[b])
+            a, b, t = a[ok], b[ok], t[ok]
             x, y = counts[a], counts[b]
             ok = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int32) <= t
             if ok.any():
                 yield np.minimum(ids[a[ok]], ids[b[ok]]), np.maximum(ids[a[ok]], ids[b[ok]])
-        at = end
+
+
+def _distinct(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    seen = np.unique(np.concatenate(pairs), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
 
 
 def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
@@ -309,15 +304,16 @@ def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
             if len(over):
                 yield pa.RecordBatch.from_arrays([pa.array(over), pa.nulls(len(over), pa.int64())], names=["a", "b"])
         keep = (count > 1) & (count <= full if full is not None else True)
-        sketch = np.stack([column("s0"), column("s1")], axis=1).view(np.uint64)
-        seen = np.zeros((0, 2), np.int64)
-        for a, b in cell_pairs(ids, size, sketch, owner, first[keep], count[keep]):
-            seen = np.unique(np.concatenate([seen, np.stack([a, b], axis=1)]), axis=0)
-            if len(seen) > PAIRS_AT_ONCE:
-                yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
-                seen = seen[:0]
-        if len(seen):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[:, 0]), pa.array(seen[:, 1])], names=["a", "b"])
+        parity, sketch = column("parity").view(np.uint64), np.stack([column("s0"), column("s1")], axis=1).view(np.uint64)
+        seen, held = [], 0
+        for a, b in cell_pairs(ids, size, parity, sketch, owner, first[keep], count[keep]):
+            seen.append(np.stack([a, b], axis=1))
+            held += len(a)
+            if held > KEYS_AT_ONCE:
+                yield _distinct(seen)
+                seen, held = [], 0
+        if held:
+            yield _distinct(seen)
 
     return grid.repartitionById(partitions, F.col("to")).mapInArrow(compare, "a long, b long")
 
@@ -330,20 +326,20 @@ def blocks(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray
         codes = _Codes()
         for b in batches:
             if b.num_rows:
-                g = _Grid(b.column("words").to_pylist(), codes, shared.value[0], full)
+                g = _Grid(b.column("words"), codes, shared.value[0], full)
                 for view, key, _ in g.cells(depth, shared.value[1]):
                     marked = shared.value[1][depth - 2][(key % np.uint64(MARKS)).astype(np.int64)]
                     o = g.owner[view[marked]]
-                    columns = [pa.array(np.asarray(b.column("id"))[o]), pa.array(key[marked].view(np.int64)), pa.array(g.size[o].astype(np.int32)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "s0", "s1"])
+                    columns = [pa.array(np.asarray(b.column("id"))[o]), pa.array(key[marked].view(np.int64)), pa.array(g.size[o].astype(np.int32)), pa.array(g.parity[o].view(np.int64)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "size", "parity", "s0", "s1"])
 
-    rows = stage(sets.select("id", "words").mapInArrow(members, "id long, key long, size int, s0 long, s1 long"), "crowds")
+    rows = stage(sets.select("id", "words").mapInArrow(members, "id long, key long, size int, parity long, s0 long, s1 long"), "crowds")
     number = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(full)).alias("n"))
     mine = rows.join(number, "key").withColumn("i", F.pmod(F.xxhash64("id"), "n"))
     every = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
     packed = F.substring(F.unhex(F.lpad(F.hex(pair), 16, "0")), 1, KEY_BYTES)
-    return every.select(F.pmod(pair, F.lit(partitions)).cast("int").alias("to"), "id", "size", "s0", "s1", packed.alias("keys"))
+    return every.select(F.pmod(pair, F.lit(partitions)).cast("int").alias("to"), "id", "size", "parity", "s0", "s1", packed.alias("keys"))
 
 
 def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: int = SEGMENTS) -> DataFrame:
