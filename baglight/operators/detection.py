@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from baglight.functions import geometry as G
+from baglight.operators.rows import greatest_below, sums_from_top
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
@@ -34,12 +35,10 @@ def box_ap(det: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
     the order total.
     """
     total = gt.groupBy("cls").agg(F.count("*").alias("boxes"))
-    order = Window.partitionBy("cls").orderBy(F.desc("score"), "uid", "k")
+    then = (F.col("uid"), F.col("k"))
     d = matched(det, gt, least).join(F.broadcast(total), "cls")
-    d = d.withColumn("hit", F.sum("tp").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order))
-    d = d.withColumn("precision", F.col("hit") / F.col("n"))
-    ahead = order.rowsBetween(0, Window.unboundedFollowing)
-    per = d.withColumn("envelope", F.max("precision").over(ahead)).groupBy("cls").agg(F.sum(F.col("tp") * F.col("envelope") / F.col("boxes")).alias("ap"))
+    d = sums_from_top(d, ["cls"], "score", {"hit": F.col("tp"), "n": F.lit(1)}, then).withColumn("precision", F.col("hit") / F.col("n"))
+    per = greatest_below(d, ["cls"], "score", "precision", "envelope", then).groupBy("cls").agg(F.sum(F.col("tp") * F.col("envelope") / F.col("boxes")).alias("ap"))
     return total.join(per, "cls", "left").select("cls", F.coalesce("ap", F.lit(0.0)).alias("ap"), "boxes")
 
 

@@ -1,7 +1,7 @@
 """Recognition and screening metrics over long tables.
 
 Predictions are rows (uid, cls, y, p) with y 0 or 1. Equal scores form one step: rows are first
-summed by score, so windows run over distinct scores, and a metric that is undefined (no positive
+summed by score and then from the top by ranges of scores (rows.sums_from_top), and a metric that is undefined (no positive
 or no negative row) is null, never NaN. Rows with a null score or label don't count.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from baglight.operators.rows import sums_from_top
+
 GRID = 49
 
 
@@ -17,8 +19,7 @@ def _steps(preds: DataFrame, by: list[str], weight: Column | None = None) -> Dat
     """by, p, tp, n, and the sums over all scores not below p."""
     w = F.lit(1) if weight is None else weight
     step = preds.filter("y is not null and p is not null").groupBy(*by, "p").agg(F.sum(w * F.col("y")).alias("tp"), F.sum(w).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rangeBetween(Window.unboundedPreceding, 0)
-    return step.withColumn("tp_upto", F.sum("tp").over(down)).withColumn("n_upto", F.sum("n").over(down))
+    return sums_from_top(step, by, "p", {"tp_upto": F.col("tp"), "n_upto": F.col("n")})
 
 
 def average_precision(preds: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -67,9 +68,10 @@ def recall_thresholds(preds: DataFrame, recall: float = 0.95) -> DataFrame:
     """cls, thr: the score that keeps the wanted recall, the k-th smallest of a class's n positives, k = floor((1 - recall) n)."""
     pos = preds.filter("y = 1 and p is not null")
     count = pos.groupBy("cls").agg(F.count("*").alias("n"))
-    step = pos.groupBy("cls", "p").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.partitionBy("cls").orderBy("p")))
+    step = sums_from_top(pos.groupBy("cls", "p").agg(F.count("*").alias("m")), ["cls"], "p", {"from_top": F.col("m")})
     k = F.least(F.floor(F.lit(1 - recall) * F.col("n")), F.col("n") - 1)
-    return step.join(count, "cls").filter(F.col("upto") > k).groupBy("cls").agg(F.min("p").alias("thr"))
+    # Those at or below a score are all but those above it.
+    return step.join(F.broadcast(count), "cls").filter(F.col("n") - F.col("from_top") + F.col("m") > k).groupBy("cls").agg(F.min("p").alias("thr"))
 
 
 def f1_report(preds: DataFrame, thr: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -43,3 +43,24 @@ def test_components_equal_union_find(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_sums_from_the_top_of_any_scores(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from baglight.operators.rows import greatest_below, sums_from_top
+
+    rng = random.Random(3)
+    scores = [0.0, -0.0, 1.0, 0.25, 0.250001, -3.5, 1e300, -1e300, 1e-300, 5e5, 5e5 + 1, float("inf"), float("-inf")] + [rng.random() for _ in range(300)] + [rng.gauss(0, 1e6) for _ in range(60)]
+    rows = [(g, i, s, rng.randint(0, 5)) for g in ("a", "b") for i, s in enumerate(scores) if g == "a" or i % 3]
+    df = spark.createDataFrame(rows, "g string, i int, s double, v int")
+    then = (F.col("i"),)
+    got = {(r.g, r.i): (r.n, r.t, r.m) for r in greatest_below(sums_from_top(df, ["g"], "s", {"n": F.lit(1), "t": F.col("v")}, then), ["g"], "s", "v", "m", then).collect()}
+    assert len(got) == len(rows)
+    for g in ("a", "b"):
+        order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+        for k, r in enumerate(order):
+            assert got[g, r[1]] == (k + 1, sum(x[3] for x in order[: k + 1]), max(x[3] for x in order[k:]))
+    assert sums_from_top(df.limit(0), ["g"], "s", {"n": F.lit(1)}).count() == 0
