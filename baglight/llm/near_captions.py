@@ -364,13 +364,22 @@ def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: i
     return pairs.join(a, "a").join(b, "b").filter(both * (OF + SHARED) >= (F.size("wa") + F.size("wb")) * SHARED).select("a", "b")
 
 
-def near_groups(rows: DataFrame, key: str, text: str, **layout: int) -> DataFrame:
-    """key, group: every record in a group of at least two; records with equal word sets are linked as well."""
+def near_groups(rows: DataFrame, key: str, text: str, links: bool = False, **layout: int) -> DataFrame:
+    """key, group: every record in a group of at least two; records with equal word sets are linked as well. With links, also the number of records that each is linked to directly, and the group is named by its least key."""
     made = stage(word_sets(rows, key, text), "words")
     sets = stage(made.groupBy("h1", "h2").agg(F.min("words").alias("words"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "sets")
-    group = components(near_links(sets.select("id", "words"), **layout))
+    linked = stage(near_links(sets.select("id", "words"), **layout), "links")
+    group = components(linked)
     grouped = sets.join(group.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("group"))
-    return made.select(key, "h1", "h2").join(grouped, ["h1", "h2"]).select(key, "group")
+    out = made.select(key, "h1", "h2").join(grouped, ["h1", "h2"])
+    if not links:
+        return out.select(key, "group")
+    both = linked.union(linked.select("b", "a")).toDF("id", "other")
+    other = both.join(sets.select(F.col("id").alias("other"), "n"), "other").groupBy("id").agg(F.sum("n").alias("others"))
+    degree = sets.select("id", "h1", "h2", "n").join(other, "id", "left").select("h1", "h2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = out.join(degree, ["h1", "h2"]).select(key, "group", "links")
+    least = out.groupBy("group").agg(F.min(key).alias("least"))
+    return out.join(least, "group").select(key, F.col("least").alias("group"), "links")
 
 
 def near_pairs(rows: DataFrame, key: str, text: str, **layout: int) -> DataFrame:

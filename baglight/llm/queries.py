@@ -52,6 +52,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_captions.near_pairs(current_captions(spark, d), "uid", "caption")
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """uid, group, links: membership without expanding copies or pairs."""
+    return near_captions.near_groups(current_captions(spark, d), "uid", "caption", links=True)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.ordered_pairs(split_overlap.cross_split_pairs(current_split(spark, d, "part", "img_path", "sig_d", "sig_a")))
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_sample": p2_sample,
     "p2_report": p2_report,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p6_found": p6_found,
     "p6_report": p6_report,
     "p7_ids": p7_ids,

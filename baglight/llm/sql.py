@@ -66,5 +66,20 @@ way as (select a, b from link union select b, a from link),
 reach(n, r) as (select a, a from way union select way.b, reach.r from reach join way on way.a = reach.n),
 grp as (select n, min(r) as g from reach group by n)
 select x.n as uid_a, y.n as uid_b from grp x join grp y on x.g = y.g and x.n < y.n
+""",
+    "p3_groups": f"""
+with recursive cur as (
+  select uid, caption from scan_index where uid is not null qualify row_number() over (partition by uid order by indexed_at desc) = 1),
+sets as (
+  select uid, list_distinct(regexp_extract_all(lower(translate(caption, '{WIDE}', '{PLAIN}')), '[\\p{{L}}\\p{{N}}]+')) as w from cur where caption is not null),
+long as (select uid, w, len(w) as n from sets where len(w) >= 15),
+word as (select uid, n, unnest(w) as x from long),
+shared as (select a.uid as a, b.uid as b, count(*) as c, any_value(a.n) as na, any_value(b.n) as nb from word a join word b on a.x = b.x and a.uid < b.uid group by a.uid, b.uid),
+link as (select a, b from shared where 10 * c >= 7 * (na + nb - c)),
+way as (select a, b from link union select b, a from link),
+reach(n, r) as (select a, a from way union select way.b, reach.r from reach join way on way.a = reach.n),
+grp as (select n, min(r) as g from reach group by n),
+deg as (select a as n, count(*) as links from way group by a)
+select grp.n as uid, g as "group", links from grp join deg using (n)
 """,
 }

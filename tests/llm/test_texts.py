@@ -59,6 +59,16 @@ def test_near_captions_by_brute_force(spark, layout):
     assert got == brute_groups(rows)
 
 
+def test_membership_and_number_of_links(spark):
+    base = [f"w{i}" for i in range(20)]
+    rows = [("a", " ".join(base)), ("b", " ".join(base)), ("c", " ".join([*base[:18], "x1", "x2"])), ("d", " ".join([*base[:14], "x1", "x2", "x3", "x4", "x5", "x6"])), ("e", " ".join(f"z{i}" for i in range(20))), ("f", " ".join([*base[:16], "x1", "x2", "x3", "x4"]))]
+    got = {r.uid: (r.group, r.links) for r in near_captions.near_groups(captions(spark, rows), "uid", "caption", links=True).collect()}
+    share = lambda x, y: len(x & y) / len(x | y)
+    words = {u: set(t.split()) for u, t in rows}
+    want = {u: sum(share(words[u], words[v]) >= 0.7 for v in words if v != u) for u in words}
+    assert {u: n for u, (_, n) in got.items()} == {u: n for u, n in want.items() if n} and len({g for g, _ in got.values()}) == 1
+
+
 def test_a_text_of_very_many_words_among_captions(spark):
     rng = random.Random(12)
     book = [f"w{i}" for i in range(20000)]
