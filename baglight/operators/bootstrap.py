@@ -34,7 +34,7 @@ def replicates(rows: DataFrame, n: int, seed: int) -> DataFrame:
 
 def bootstrap_map(models: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """b, model, map of models (model, uid, cls, y, p)."""
-    per = average_precision(replicates(models, n, seed), ["b", "model", "cls"], F.col("w"))
+    per = average_precision(replicates(models, n, seed), ["b", "model", "cls"], F.col("w"), many=True)
     return per.groupBy("b", "model").agg(F.avg("ap").alias("map"))
 
 

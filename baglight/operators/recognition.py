@@ -15,16 +15,19 @@ from baglight.operators.rows import sums_from_top
 GRID = 49
 
 
-def _steps(preds: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
-    """by, p, tp, n, and the sums over all scores not below p."""
+def _steps(preds: DataFrame, by: list[str], weight: Column | None = None, many: bool = False) -> DataFrame:
+    """by, p, tp, n, and the sums over all scores not below p. With many groups (thousands of replicates) the groups themselves spread the work."""
     w = F.lit(1) if weight is None else weight
     step = preds.filter("y is not null and p is not null").groupBy(*by, "p").agg(F.sum(w * F.col("y")).alias("tp"), F.sum(w).alias("n"))
+    if many:
+        down = Window.partitionBy(*by).orderBy(F.desc("p"))
+        return step.withColumn("tp_upto", F.sum("tp").over(down)).withColumn("n_upto", F.sum("n").over(down))
     return sums_from_top(step, by, "p", {"tp_upto": F.col("tp"), "n_upto": F.col("n")})
 
 
-def average_precision(preds: DataFrame, by: list[str], weight: Column | None = None) -> DataFrame:
+def average_precision(preds: DataFrame, by: list[str], weight: Column | None = None, many: bool = False) -> DataFrame:
     """by, ap, positives: precision at each score times the step in recall; null without positives or without negatives."""
-    s = _steps(preds, by, weight)
+    s = _steps(preds, by, weight, many)
     agg = s.groupBy(*by).agg(F.sum("tp").alias("positives"), F.sum("n").alias("rows"), F.sum(F.when(F.col("tp") > 0, F.col("tp") * F.col("tp_upto") / F.col("n_upto")).otherwise(0.0)).alias("area"))
     ok = (F.col("positives") > 0) & (F.col("positives") < F.col("rows"))
     return agg.select(*by, F.when(ok, F.col("area") / F.col("positives")).alias("ap"), "positives")
