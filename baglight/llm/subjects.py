@@ -383,9 +383,11 @@ def _fit(texts: DataFrame, names: list[str]) -> Model:
         drop_stage(embedded)
         weight = _topical(share, seen, by_lang, df, idf)
         if last:
-            mine = centroid[seen.argmax(axis=1)][:, :k]  # the centroids of the language that a term is most often found in
+            mine = seen.argmax(axis=1)  # the language that a term is most often found in
             unit = folded / np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-            product = np.einsum("tr,tkr->tk", unit, mine) * weight[:, None]
+            product = np.zeros((len(df), k))
+            for i in np.unique(mine):
+                product[mine == i] = unit[mine == i] @ centroid[i, :k].T * weight[mine == i, None]
         else:
             weight = np.where(vocabulary.single, weight, 0)
         basis = full
