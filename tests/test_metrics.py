@@ -171,3 +171,35 @@ def test_rates_of_an_open_set(spark):
     rows = [(i, "benign", i / 100) for i in range(100)] + [(200, "unknown", 0.97), (201, "unknown", 0.5), (202, "known", 1.0), (203, None, 1.0)]
     got = {(r.population, r.score): (r.tpr_at_fpr_5, r.tpr_at_fpr_1) for r in cascade.open_set_rates(spark.createDataFrame(rows, "uid int, population string, s double")).collect()}
     assert got[("known", "s")] == (1.0, 1.0) and got[("unknown", "s")] == (0.5, 0.0)
+
+
+def test_bootstrap_weights_are_those_of_the_hash(spark):
+    from baglight.operators.bootstrap import poisson_weight, replicates, uniform
+
+    # Texts of one block, of just one and of more, none, and replicates of one to four digits.
+    uids = ["s1", "", None, "é" * 30, "y" * 47, "y" * 48, "y" * 49, "y" * 50, "z" * 200, "s1"]
+    rows = spark.createDataFrame([(u,) for u in uids], "uid string")
+    got = replicates(rows, 1003, 7).select("uid", F.posexplode("w").alias("b", "w"))
+    assert got.filter(F.col("w") != poisson_weight(uniform(7, F.col("b"), F.col("uid")))).count() == 0
+    assert got.count() == 1003 * len(uids)
+
+
+def test_bootstrapped_auroc_keeps_rows_as_they_are(spark, monkeypatch):
+    from baglight.operators import bootstrap
+    from baglight.operators.recognition import auroc
+
+    nan = float("nan")
+    scores = [0.0] * 150 + [i % 7 / 7 for i in range(60)] + [i / 40 for i in range(40)] + [nan, nan, -0.0, float("inf"), None]
+    rows = [(f"u{i}", (i * 7919) % 3 == 0, p) for i, p in enumerate(scores)] + [("no label", None, 0.5)]
+    df = spark.createDataFrame(rows, "uid string, threat boolean, score double").withColumn("threat", F.col("threat").cast("int"))
+    each = df.select("uid", F.col("threat").alias("y"), F.col("score").alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    w = bootstrap.poisson_weight(bootstrap.uniform(0, F.col("b"), F.col("uid")))
+    want = {r.b: r.auroc for r in auroc(each.withColumn("w", w).filter("w > 0"), ["b"], F.col("w")).collect()}
+    drawn = []
+    kept = bootstrap.replicates
+    monkeypatch.setattr(bootstrap, "replicates", lambda rows, n, seed: drawn.append(kept(rows, n, seed)) or drawn[-1])
+    assert {r.b: r.auroc for r in bootstrap.bootstrap_auroc(df, 20).collect()} == pytest.approx(want)
+    # Rows with a label and a score, once each and not once a replicate.
+    assert drawn[0].count() == len(scores) - 1
+    one = df.filter("threat = 1")
+    assert bootstrap.auroc_interval(one, 5).collect() == [(None, None)] and bootstrap.auroc_interval(one.limit(0), 5).collect() == [(None, None)]
