@@ -34,11 +34,22 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/baglight/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+#: Spark's setting by which a query's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again. With release, the shuffle files behind it are removed as soon as it is written."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_RELEASE, None)
+    if release:
+        spark.conf.set(_RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(_RELEASE) if before is None else spark.conf.set(_RELEASE, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
     return out

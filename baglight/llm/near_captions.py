@@ -18,6 +18,9 @@ share at least 0.7 of all their words.
   by the Manhattan distance of counts summed to 32 segments, after the parities of sums to 64.
 * Exact check of what is left, on the words themselves. Links are then closed to groups.
 
+On disk is one depth's cells at a time: the records of a batch and partition are one compressed row,
+and a depth's shuffle files go as soon as its pairs are written.
+
 No pair at or above the threshold is lost, at any number of rows, and no cell grows with the rows.
 Equal word sets are one record until the end, so copies build no pairs. Records meet only others of
 their size class, so that a few long texts among many captions have rare coordinates of their own.
@@ -40,7 +43,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from baglight.functions.stage import stage, width
+from baglight.functions.stage import drop_stage, stage, width
 from baglight.operators.graph import components
 
 LEAST_WORDS = 15
@@ -207,21 +210,46 @@ class _Grid:
             at = end
 
 
-CELLS = "to int, id long, size int, parity long, s0 long, s1 long, keys binary"
+CELLS = "to int, bytes int, cells binary"
 _KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 
 
-def _packed(g: _Grid, ids: np.ndarray, view: np.ndarray, key: np.ndarray, partitions: int) -> pa.RecordBatch:
-    """Cells as a row for each record and partition."""
+def _packed(ids: np.ndarray, size: np.ndarray, parity: np.ndarray, sketch: np.ndarray, record: np.ndarray, key: np.ndarray, partitions: int) -> pa.RecordBatch:
+    """Cells (key, record) as a row for each partition: its records with their embedding and each one's keys, by columns, compressed."""
+    codec = pa.Codec("zstd", compression_level=1)
     to = ((key >> np.uint64(24)) % np.uint64(partitions)).astype(np.int64)
-    order = np.lexsort((view, to))
-    view, key, to = view[order], key[order], to[order]
-    first = np.flatnonzero(np.append(True, (view[1:] != view[:-1]) | (to[1:] != to[:-1]))) if len(view) else np.zeros(0, np.int64)
-    raw = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
-    ends = (np.append(first, len(key)) * KEY_BYTES).astype(np.int32)
-    o = g.owner[view[first]]
-    columns = [pa.array(to[first].astype(np.int32)), pa.array(ids[o]), pa.array(g.size[o].astype(np.int32)), pa.array(g.parity[o].view(np.int64)), pa.array(g.sketch[o, 0].view(np.int64)), pa.array(g.sketch[o, 1].view(np.int64)), pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(raw)])]
-    return pa.RecordBatch.from_arrays(columns, names=["to", "id", "size", "parity", "s0", "s1", "keys"])
+    order = np.lexsort((record, to))
+    record, key, to = record[order], key[order], to[order]
+    first = np.flatnonzero(np.append(True, (record[1:] != record[:-1]) | (to[1:] != to[:-1]))) if len(key) else np.zeros(0, np.int64)
+    raw = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+    upto = np.append(first, len(key))
+    part = to[first]
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    sizes, blobs = [], []
+    for at, end in zip(starts.tolist(), np.append(starts[1:], len(part)).tolist(), strict=True):
+        r = record[first[at:end]]
+        whole = b"".join((np.array([end - at]), np.diff(ids[r], prepend=0), size[r].astype(np.int32), np.diff(upto[at : end + 1]).astype(np.int32), sketch[r], parity[r], raw[upto[at] : upto[end]]))
+        sizes.append(len(whole))
+        blobs.append(codec.compress(whole, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())], names=["to", "bytes", "cells"])
+
+
+def _unpacked(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """id, size, parity and sketch of the records, and owner (a record's place) and key of their cells."""
+    codec, found = pa.Codec("zstd"), []
+    for b in parts:
+        for size, blob in zip(b.column("bytes").to_pylist(), b.column("cells").to_pylist(), strict=True):
+            whole, at = codec.decompress(blob, size, asbytes=True), 8
+            n = int(np.frombuffer(whole, np.int64, 1)[0])
+            own = []
+            for kind, count in ((np.int64, n), (np.int32, n), (np.int32, n), (np.uint64, 2 * n), (np.uint64, n)):
+                own.append(np.frombuffer(whole, kind, count, at))
+                at += own[-1].nbytes
+            found.append((np.cumsum(own[0]), *own[1:], np.frombuffer(whole, np.uint8, -1, at)))
+    ids, size, number, sketch, parity, raw = (np.concatenate(x) for x in zip(*found, strict=True))
+    key = np.zeros((len(raw) // KEY_BYTES, 8), np.uint8)
+    key[:, :KEY_BYTES] = raw.reshape(-1, KEY_BYTES)
+    return ids, size.astype(np.int64), parity, sketch.reshape(-1, 2), np.repeat(np.arange(len(ids)), number), key.view(np.uint64).ravel()
 
 
 def cells(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray], full: int, partitions: int) -> DataFrame:
@@ -235,7 +263,7 @@ def cells(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray]
                 g = _Grid(b.column("words"), codes, shared.value[0], full)
                 for view, key, _ in g.cells(depth, shared.value[1]):
                     if len(key):
-                        yield _packed(g, np.asarray(b.column("id")), view, key, partitions)
+                        yield _packed(np.asarray(b.column("id")), g.size, g.parity, g.sketch, g.owner[view], key, partitions)
 
     return sets.select("id", "words").mapInArrow(emit, CELLS)
 
@@ -286,14 +314,7 @@ def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        t = pa.Table.from_batches(parts).combine_chunks()
-        column = lambda c: np.asarray(t.column(c))
-        blobs = t.column("keys").to_pylist()
-        key = np.zeros((sum(map(len, blobs)) // KEY_BYTES, 8), np.uint8)
-        key[:, :KEY_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, KEY_BYTES)
-        key = key.view(np.uint64).ravel()
-        owner = np.repeat(np.arange(t.num_rows), [len(x) // KEY_BYTES for x in blobs])
-        size, ids = column("size").astype(np.int64), column("id")
+        ids, size, parity, sketch, owner, key = _unpacked(parts)
         # By cell and size in one number; sizes from MOST_SIZE on count as equal.
         order = np.argsort(key << np.uint64(16) | np.minimum(size, MOST_SIZE).astype(np.uint64)[owner])
         owner, key = owner[order], key[order]
@@ -304,7 +325,6 @@ def compared(grid: DataFrame, partitions: int, full: int | None) -> DataFrame:
             if len(over):
                 yield pa.RecordBatch.from_arrays([pa.array(over), pa.nulls(len(over), pa.int64())], names=["a", "b"])
         keep = (count > 1) & (count <= full if full is not None else True)
-        parity, sketch = column("parity").view(np.uint64), np.stack([column("s0"), column("s1")], axis=1).view(np.uint64)
         seen, held = [], 0
         for a, b in cell_pairs(ids, size, parity, sketch, owner, first[keep], count[keep]):
             seen.append(np.stack([a, b], axis=1))
@@ -337,9 +357,15 @@ def blocks(sets: DataFrame, held: np.ndarray, depth: int, marks: list[np.ndarray
     number = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(full)).alias("n"))
     mine = rows.join(number, "key").withColumn("i", F.pmod(F.xxhash64("id"), "n"))
     every = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    pair = F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j"))
-    packed = F.substring(F.unhex(F.lpad(F.hex(pair), 16, "0")), 1, KEY_BYTES)
-    return every.select(F.pmod(pair, F.lit(partitions)).cast("int").alias("to"), "id", "size", "parity", "s0", "s1", packed.alias("keys"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                column = lambda c: np.asarray(b.column(c))  # noqa: B023, E731
+                key = column("pair").view(np.uint64) & _KEY
+                yield _packed(column("id"), column("size"), column("parity").view(np.uint64), np.stack([column("s0"), column("s1")], axis=1).view(np.uint64), np.arange(len(key)), key, partitions)
+
+    return every.select("id", "size", "parity", "s0", "s1", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("pair")).mapInArrow(pack, CELLS)
 
 
 def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: int = SEGMENTS) -> DataFrame:
@@ -349,7 +375,7 @@ def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: i
     to = max(1, min(width(sets.sparkSession), ceil(n * 40 / KEYS_A_PARTITION)), ceil(n * 40 / (4 * KEYS_A_PARTITION)))
     found, marks = [], []
     for depth in range(2, most + 1):
-        out = stage(compared(cells(sets, held, depth, marks, size, to), to, size), "cells")
+        out = stage(compared(cells(sets, held, depth, marks, size, to), to, size), "cells", release=True)
         found.append(out.filter("b is not null"))
         bits = out.filter("b is null").select(F.pmod("a", F.lit(MARKS)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most MARKS
         if not len(bits):
@@ -357,7 +383,7 @@ def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: i
         marks.append(np.zeros(MARKS, bool))
         marks[-1][bits] = True
     else:
-        found.append(compared(blocks(sets, held, most, marks, size, to), to, None))
+        found.append(stage(compared(blocks(sets, held, most, marks, size, to), to, None), "blocks", release=True))
     pairs = reduce(DataFrame.union, found).distinct()
     a, b = sets.select(F.col("id").alias("a"), F.split("words", " ").alias("wa")), sets.select(F.col("id").alias("b"), F.split("words", " ").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
@@ -366,9 +392,11 @@ def near_links(sets: DataFrame, size: int = FULL, most: int = DEPTH, segments: i
 
 def near_groups(rows: DataFrame, key: str, text: str, links: bool = False, **layout: int) -> DataFrame:
     """key, group: every record in a group of at least two; records with equal word sets are linked as well. With links, also the number of records that each is linked to directly, and the group is named by its least key."""
-    made = stage(word_sets(rows, key, text), "words")
-    sets = stage(made.groupBy("h1", "h2").agg(F.min("words").alias("words"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "sets")
-    linked = stage(near_links(sets.select("id", "words"), **layout), "links")
+    texts = stage(word_sets(rows, key, text), "words", release=True)
+    sets = stage(texts.groupBy("h1", "h2").agg(F.min("words").alias("words"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "sets", release=True)
+    made = stage(texts.select(key, "h1", "h2"), "keys")
+    drop_stage(texts)  # the words are kept once
+    linked = stage(near_links(sets.select("id", "words"), **layout), "links", release=True)
     group = components(linked)
     grouped = sets.join(group.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 or component is not null").select("h1", "h2", F.coalesce("component", "id").alias("group"))
     out = made.select(key, "h1", "h2").join(grouped, ["h1", "h2"])
@@ -384,6 +412,6 @@ def near_groups(rows: DataFrame, key: str, text: str, links: bool = False, **lay
 
 def near_pairs(rows: DataFrame, key: str, text: str, **layout: int) -> DataFrame:
     """uid_a < uid_b: all pairs of keys within a group."""
-    g = stage(near_groups(rows, key, text, **layout), "groups")
+    g = stage(near_groups(rows, key, text, **layout), "groups", release=True)
     a, b = g.select(F.col(key).alias("uid_a"), "group"), g.select(F.col(key).alias("uid_b"), "group")
     return a.join(b, "group").filter("uid_a < uid_b").select("uid_a", "uid_b")

@@ -222,3 +222,50 @@ def test_packing_tries_targets_that_were_passed_over(seed, capacity, k, most):
         for s, n in filling:
             held[s] = held.get(s, 0) + n * times
     assert held == counts and sum(t for _, t in packed) <= most
+
+
+def shuffles(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = []
+    while files.hasNext():
+        names.append(files.next().getName())
+    return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_depth_go_before_the_next(spark, monkeypatch):
+    import time
+
+    kept, staged = near_captions.stage, []
+
+    def watched(df, name, **how):
+        before = shuffles(spark)
+        out = kept(df, name, **how)
+        if name in ("words", "sets", "cells", "blocks", "links"):
+            until = time.time() + 10  # files are removed a moment later
+            while (left := shuffles(spark) - before) and time.time() < until:
+                time.sleep(0.1)
+            staged.append((name, len(left)))
+        return out
+
+    monkeypatch.setattr(near_captions, "stage", watched)
+    rng = random.Random(5)
+    rows = [(f"u{i}", " ".join(rng.sample(VOCAB[:60], 30))) for i in range(200)]
+    assert {tuple(r) for r in near_captions.near_pairs(captions(spark, rows), "uid", "caption", size=3, most=3).collect()} == brute_groups(rows)
+    assert [n for n, _ in staged] == ["words", "sets", "cells", "cells", "blocks", "links"] and not any(left for _, left in staged)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_cells_are_packed_without_loss():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, m = 300, 9000
+    ids, size = np.sort(rng.integers(0, 1 << 62, n)), rng.integers(15, 1 << 20, n)
+    parity, sketch = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 1 << 63, (n, 2)).astype(np.uint64)
+    record, key = rng.integers(0, n, m), rng.integers(0, 1 << 48, m).astype(np.uint64)
+    packed = near_captions._packed(ids, size, parity, sketch, record, key, 7)
+    assert sorted(packed.column("to").to_pylist()) == list(range(7))
+    i, s, p, k, owner, keys = near_captions._unpacked([packed.slice(0, 3), packed.slice(3)])
+    assert sorted(zip(i[owner].tolist(), s[owner].tolist(), p[owner].tolist(), *k[owner].T.tolist(), keys.tolist())) == sorted(zip(ids[record].tolist(), size[record].tolist(), parity[record].tolist(), *sketch[record].T.tolist(), key.tolist()))
+    # A cell costs its key and a small share of its record.
+    assert sum(map(len, packed.column("cells").to_pylist())) < 8 * m + 45 * 7 * n
